@@ -30,12 +30,22 @@ def mixed(a: str, turn: str, seed: str) -> str:
     return f"(({second} * 48271 + {first}) % {PRIME})"
 
 
-def permuted(x: str, n: str, seed: str) -> str:
-    """SQL for the image of x under a permutation of 0 .. n - 1."""
-    key = f"(({mixed('r + 101', '7', seed)} * {PRIME} + {mixed('r + 211', '3', seed)}) % ({n}))"
-    partner = f"(({key} - y + ({n})) % ({n}))"
-    swap = f"{mixed(f'greatest(y, {partner})', 'r', seed)} div 65536 % 2 = 1"
-    return f"aggregate(sequence(0L, {ROUNDS - 1}L), {x}, (y, r) -> if({swap}, {partner}, y))"
+def keys(n: str, seed: str) -> str:
+    """SQL for the round keys of a permutation of 0 .. n - 1."""
+    return f"transform(sequence(0L, {ROUNDS - 1}L), r -> ({mixed('r + 101', '7', seed)} * {PRIME} + {mixed('r + 211', '3', seed)}) % ({n}))"
+
+
+def rounds(n: str) -> str:
+    """SQL for one round of a permutation: y under the round key k. Its image is
+    k - y or y itself, as a bit drawn for the pair says, so it is one to one."""
+    partner = f"((k - y + {n}) % {n})"
+    once = f"((greatest(y, {partner}) % {PRIME} * 48271 + k) % {PRIME})"
+    return f"if(({once} * {once} + k) % {PRIME} div 65536 % 2 = 1, {partner}, y)"
+
+
+def permuted(x: str, n: str, by: str) -> str:
+    """SQL for the image of x under the permutation of 0 .. n - 1 with keys ``by``."""
+    return f"aggregate({by}, {x}, (y, k) -> {rounds(n)})"
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
@@ -111,12 +121,15 @@ def slots(plan: DataFrame, seed: int = 1) -> DataFrame:
     Slot numbers of a source are unrolled in two steps, chunks first, so that no
     task unrolls a large source by itself.
     """
-    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    chunks = plan.where("slots > 0").select("nr", "blocks", "slots", "base", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk")).repartition("nr", "chunk")
-    each = chunks.select("nr", "blocks", "base", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("j"))
-    place = permuted("base + j", f"{max(1, total)}L", f"{seed}L + 17")
-    index = permuted("j % blocks", "blocks", f"{seed}L + nr * 1009 + j div blocks")
-    return each.select("nr", F.expr(index).alias("block"), F.expr(place).alias("place")).select(F.expr(f"place div {SHARD_SLOTS}").alias("shard"), F.expr(f"place % {SHARD_SLOTS}").alias("slot"), "nr", "block")
+    total = f"{max(1, plan.agg(F.coalesce(F.sum('slots'), F.lit(0))).first()[0])}L"
+    spark = plan.sparkSession
+    turns = plan.where("slots > 0").select("nr", "blocks", "base", "slots", F.explode(F.expr("sequence(0L, (slots - 1) div blocks)")).alias("pass"))
+    turns = turns.select("nr", "blocks", F.expr("base + pass * blocks").alias("base"), F.expr("least(blocks, slots - pass * blocks)").alias("n"), F.expr(keys("blocks", f"{seed}L + nr * 1009 + pass")).alias("own"))
+    chunks = turns.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {SLOT_CHUNK})")).alias("chunk"))
+    chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "nr", "base", "chunk")
+    each = chunks.select("nr", "blocks", "base", "own", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(n, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
+    place = permuted("base + i", total, keys(total, f"{seed}L + 17"))
+    return each.select("nr", F.expr(permuted("i", "blocks", "own")).alias("block"), F.expr(place).alias("place")).select(F.expr(f"place div {SHARD_SLOTS}").alias("shard"), F.expr(f"place % {SHARD_SLOTS}").alias("slot"), "nr", "block")
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:

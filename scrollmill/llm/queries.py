@@ -127,12 +127,8 @@ def _duck(sql: str) -> str:
     return sql.replace(" div ", " // ")
 
 
-def _duck_permuted(x: str, n: str, seed: str) -> str:
-    """mixing.permuted as nested list_reduce, y the running value, r the round."""
-    key = f"(({mixing.mixed('r + 101', '7', seed)} * {mixing.PRIME} + {mixing.mixed('r + 211', '3', seed)}) % ({n}))"
-    partner = f"(({key} - y + ({n})) % ({n}))"
-    swap = f"{mixing.mixed(f'greatest(y, {partner})', 'r', seed)} // 65536 % 2 = 1"
-    return f"list_reduce(range(0, {mixing.ROUNDS}), lambda y, r: case when {swap} then {partner} else y end, cast({x} as bigint))"
+def _duck_keys(n: str, seed: str) -> str:
+    return f"list_transform(range(0, {mixing.ROUNDS}), lambda r: ({mixing.mixed('r + 101', '7', seed)} * {mixing.PRIME} + {mixing.mixed('r + 211', '3', seed)}) % ({n}))"
 
 
 def mixing_sql(docs: str = "documents", extra: str = "", block_words: int = 128, seed: int = 1) -> str:
@@ -152,8 +148,12 @@ pl as (select *, case when source_size = 0 then 0 else cast(floor(target * block
 plan as (select *, cast(sum(slots) over (order by nr) - slots as bigint) as base from pl),
 own as (select s.*, p.nr, p.source_size, p.target, {bucket} as bucket from sized s join plan p on s.source is not distinct from p.source),
 placed as (select *, row_number() over () as k, cast(sum(size) over (partition by nr order by bucket, doc_id, size rows unbounded preceding) - size as bigint) as start from own),
-each as (select nr, blocks, base, unnest(range(0, slots)) as j from plan where slots > 0),
-drawn as (select nr, block, count(*) as times from (select nr, {_duck_permuted('j % blocks', 'blocks', f'{seed} + nr * 1009 + j // blocks')} as block from each) group by all),
+passes as (select nr, blocks, slots, unnest(range(0, (slots - 1) // blocks + 1)) as pass from plan where slots > 0),
+own_keys as (select nr, blocks, least(blocks, slots - pass * blocks) as n, {_duck_keys('blocks', f'{seed} + nr * 1009 + pass')} as own from passes),
+each as (select nr, blocks, own, unnest(range(0, n)) as i from own_keys),
+drawn as (
+    select nr, block, count(*) as times
+    from (select nr, list_reduce(own, lambda y, k: {mixing.rounds('blocks').replace('if(', 'case when ', 1).replace('= 1, ', '= 1 then ').replace(', y)', ' else y end')}, cast(i as bigint)) as block from each) group by all),
 pieces as (select k, nr, start, size, unnest(generate_series(start // {block_words}, (start + size - 1) // {block_words})) as block from placed where size > 0),
 got as (
     select k, cast(sum((least(start + size, (pieces.block + 1) * {block_words}) - greatest(start, pieces.block * {block_words})) * times) as bigint) as taken
