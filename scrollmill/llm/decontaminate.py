@@ -55,7 +55,7 @@ def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1_000_000) ->
     prints = named.select("doc_id", "text_key", words(F.col("text")).alias("words")).withColumn("grams", F.expr(_grams(GRAM)))
     wanted = ", ".join([_winnowed(), *(f"array_distinct({_grams(n)})" for n in sorted(short))])
     prints = prints.select("doc_id", "text_key", F.explode(F.expr(f"flatten(array({wanted}))")).alias("key"))
-    side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys.hint("merge")
     candidates = materialize(prints.join(side, "key").select("doc_id", "text_key", "item").distinct(), "candidates")
 
     at = candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "item")

@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
     made = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, grams array<long>, bands array<string>")
     classes = materialize(made.groupBy("grams").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "minhash-classes")
     keys = classes.where(F.size("grams") > 0).select("id", F.posexplode("bands").alias("band", "key"))
-    pairs = keys.alias("x").join(keys.alias("y"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = keys.alias("x").join(keys.alias("y").hint("merge"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     grams = lambda c: classes.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     return (

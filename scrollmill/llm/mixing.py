@@ -105,13 +105,15 @@ def mix(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
     placed = own.withColumn("run", F.sum("size").over(inside) - F.col("size")).join(offsets, ["nr", "bucket"]).withColumn("start", F.col("offset") + F.col("run"))
     placed = materialize(placed.select(*kept, "source", "nr", "source_size", "target", "start"), "mix-placed")
 
+    # Both sides follow the input, which the planner's estimates don't see past
+    # explode(); the hints keep it from broadcasting them.
     drawn = slots(plan, seed).groupBy("nr", "block").agg(F.count("*").alias("times"))
     block = F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})"))
     pieces = placed.where("size > 0").select("nr", "start", "size", block.alias("block"))
     pieces = pieces.withColumn("words", F.expr(f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})"))
-    taken = pieces.join(drawn, ["nr", "block"]).groupBy("nr", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces.join(drawn.hint("merge"), ["nr", "block"]).groupBy("nr", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     taken = taken.select(F.col("nr").alias("t_nr"), F.col("start").alias("t_start"), "taken")
-    found = placed.join(taken, (F.col("nr") == F.col("t_nr")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
+    found = placed.join(taken.hint("merge"), (F.col("nr") == F.col("t_nr")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
     return found.select(*kept, "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

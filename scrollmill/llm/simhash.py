@@ -81,7 +81,8 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
         return f"bit_count({turned} & (shiftleft(1L, {width}) - 1)) <= {RADIUS * length // SEGMENTS}"
 
     met = F.expr(f"u < v and {chain(3)} and {chain(4)} and bit_count(u ^ v) <= {RADIUS}")
-    return index.join(probe, "key").where(met).select("u", "v").distinct()
+    # The planner doesn't see that explode() multiplies rows: never broadcast here.
+    return index.join(probe.hint("merge"), "key").where(met).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
