@@ -2,7 +2,7 @@
 
 An Arrow string column already is one byte buffer with offsets, so words of a
 thousand documents are found with a handful of vector operations. Batches are
-cut into pieces of about a megabyte first: that bounds the temporaries (a few
+cut into pieces of about half a megabyte first: that bounds the temporaries (a few
 times eight bytes a character) and keeps them in the processor's caches.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -35,7 +35,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 21, 1 << int(n).bit_length()))
+    return _powers(max(1 << 20, 1 << int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
