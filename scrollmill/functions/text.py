@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rewrites of an error line, in order.
 ERROR_REWRITES = [
-    (r"\[REDACTED:[a-z_]+\]", "<r>"), (r"(?:~|\.{1,2})?(?:/[A-Za-z0-9_.@+-]+)+/?", "<path>"), (r"\b0x[0-9a-fA-F]+\b|\b[0-9a-f]{7,64}\b", "<hex>"),
-    (r"[0-9]+", "<n>"), (r"'[^'\n]{1,120}'", "<q>"), (r'"[^"\n]{1,120}"', "<q>"), (r"`[^`\n]{1,120}`", "<q>"), (r"\s+", " "),
+    (r"\[REDACTED:[a-z_]+\]", "<r>"), (r"(?:[A-Za-z]:)?(?:~|\.{1,2})?(?:/[^\s:'\"()\[\],;]+)+/?", "<path>"), (r"\b0x[0-9a-fA-F]+\b|\b[0-9a-f]{7,}\b", "<hex>"),
+    (r"[0-9]+", "<n>"), (r'"[^"]*"', '"<q>"'), (r"'[^']*'", "'<q>'"), (r"`[^`]*`", "`<q>`"), (r"\s+", " "),
 ]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import policy, redaction, text
+from ..functions import extraction, policy, redaction, text
 from ..operators import ordered, search
 
 QUERIES, SQL = {}, {}
@@ -136,7 +136,7 @@ def cls_first_line(t) -> DataFrame:
 
 def _duck_error_line(c: str) -> str:
     for pattern, mark in text.ERROR_REWRITES:
-        pattern = pattern.replace("'", "''")
+        pattern, mark = pattern.replace("'", "''"), mark.replace("'", "''")
         c = f"regexp_replace({c}, '{pattern}', '{mark}', 'g')"
     return f"substr(trim({c}), 1, 200)"
 
@@ -161,6 +161,49 @@ def cls_tool_json(t) -> DataFrame:
     return t("events").groupBy("event_type").agg(big(F.sum(F.get_json_object("props", "$.k").cast("long"))).alias("k"))
 
 
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"with l as (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce('Exit code 1' || chr(10) || text, ''), '{extraction.TAG}', '', 'g'), '{extraction.LINE_END}'), lambda x: {_STRIPPED.format('x')}), lambda x: x <> '') as l from documents) select doc_id, case when len(l) > 1 then 'exit: ' || l[2] else coalesce(l[1], '') end as line from l")
+def cls_error_head(t) -> DataFrame:
+    return t("documents").select("doc_id", extraction.error_head(F.concat(F.lit("Exit code 1\n"), "text")).alias("line"))
+
+
+@query("select doc_id, sha1(nullif(case doc_id % 5 when 0 then case when length(text) > 3000 then substr(text, 1, 2500) || chr(10) || '…' || chr(10) || right(text, 500) else text end when 1 then substr(text, 1, 20000) when 3 then substr(text, 1, 3000) when 4 then text end, '')) as body_sha from documents")
+def cls_index_body(t) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["tool_result", "assistant", "meta", "interrupt", "human"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return t("documents").select("doc_id", F.sha1(extraction.index_body(kind, F.lit(""), F.col("text")).cast("binary")).alias("body_sha"))
+
+
+@query(r"with f as (select doc_id, trim(regexp_replace(regexp_replace(case when doc_id % 3 = 1 then '/go ' else '' end || coalesce(text, ''), '\[이미지[^\]]*\]|\[Image #[0-9]+\]', ' ', 'g'), '\s+', ' ', 'g')) as flat from documents) select doc_id, substr(regexp_replace(flat, '^!\s*', ''), 1, 300) as key from f")
+def queue_key(t) -> DataFrame:
+    """Typed behind a mark, as a command's arguments, or as a shell line."""
+    body = F.coalesce("text", F.lit(""))
+    kind = F.when(F.col("doc_id") % 3 == 0, "bash_in").when(F.col("doc_id") % 3 == 1, "slash").otherwise("human")
+    said = (
+        F.when(kind == "bash_in", F.concat(F.lit("<bash-input>"), body, F.lit("</bash-input>")))
+        .when(kind == "slash", F.concat(F.lit("<command-name>/go</command-name><command-args>"), body, F.lit("</command-args>")))
+        .otherwise(body)
+    )
+    return t("documents").select("doc_id", extraction.queue_key(kind, said).alias("key"))
+
+
+@query(rf"select doc_id, n, title, sha1({_STRIPPED.format('body')}) as body_sha from (select doc_id, 1 as n, source as title, text as body from documents union all select doc_id, 2, 'End', lang from documents) where title is not null and body is not null")
+def cls_summary_sections(t) -> DataFrame:
+    d = t("documents").where("source is not null and text is not null and lang is not null")
+    whole = F.concat(F.lit("## 1. "), "source", F.lit(":\n"), "text", F.lit("\n7. a list\n## 2. End\n"), "lang")
+    s = d.select("doc_id", F.inline(extraction.summary_sections(whole)))
+    return s.select("doc_id", "n", "title", F.sha1(F.regexp_replace("body", r"\s*7\. a list$", "").cast("binary")).alias("body_sha"))
+
+
+@query("select doc_id, sha1(concat_ws(chr(10), '[Bash]', nullif(source, ''), nullif(substr(text, 1, 2000), ''))) as shown_sha from documents where text is not null and source is not null")
+def cls_tool_text(t) -> DataFrame:
+    d = t("documents").where("text is not null and source is not null")
+    given = F.to_json(F.struct(F.col("text").alias("command"), F.col("source").alias("description"), F.lit(1).alias("other")))
+    s = d.select("doc_id", extraction.tool_summary(F.lit("Bash"), given).alias("s"))
+    return s.select("doc_id", F.sha1(extraction.tool_text(F.lit("Bash"), F.col("s")).cast("binary")).alias("shown_sha"))
+
+
 # Redaction ---------------------------------------------------------------
 
 
