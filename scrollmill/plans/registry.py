@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import extraction, policy, redaction, text
+from ..functions import extraction, policy, redaction, shell, text
 from ..operators import ordered, search
 
 QUERIES, SQL = {}, {}
@@ -204,6 +204,14 @@ def cls_tool_text(t) -> DataFrame:
     return s.select("doc_id", F.sha1(extraction.tool_text(F.lit("Bash"), F.col("s")).cast("binary")).alias("shown_sha"))
 
 
+@query("select doc_id, doc_id % 4 < 2 as nothing_found from documents")
+def cls_nothing_found(t) -> DataFrame:
+    """Two commands that only seek, one that writes, one that builds first."""
+    commands = F.array(*map(F.lit, ["grep -r 'a b' src | head -3", "make; git diff --quiet", "grep x y > out.txt", "make && grep x y"]))
+    command = F.element_at(commands, (F.col("doc_id") % 4 + 1).cast("int"))
+    return t("documents").select("doc_id", shell.nothing_found(F.lit("Exit code 1\n"), command).alias("nothing_found"))
+
+
 # Redaction ---------------------------------------------------------------
 
 
