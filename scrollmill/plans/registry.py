@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import extraction, policy, redaction, shell, text
+from ..functions import extraction, lines, policy, redaction, rollout, shell, text
 from ..operators import ordered, search
 
 QUERIES, SQL = {}, {}
@@ -212,6 +212,45 @@ def cls_nothing_found(t) -> DataFrame:
     return t("documents").select("doc_id", shell.nothing_found(F.lit("Exit code 1\n"), command).alias("nothing_found"))
 
 
+# Lines of both dialects -----------------------------------------------------
+
+
+@query(
+    "select conv_id, turn, case turn % 4 when 0 then 'human' when 1 then 'assistant' when 2 then 'tool_result' end as kind, case when turn % 4 = 3 then 'codex:echo:user_message' end as reason,"
+    " sha256(case turn % 4 when 2 then 'Exit code 1' || chr(10) || ltrim(coalesce(text, ''), chr(10)) when 3 then null else coalesce(text, '') end) as text_sha256 from conversations"
+)
+def src_rollout_lines(t) -> DataFrame:
+    """Each turn as a prompt, an answer, a failed command's output or an echo."""
+    said, way = F.coalesce("text", F.lit("")), F.col("turn") % 4
+    part = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), said.alias("text")))
+    message = lambda role, kind: F.struct(F.lit("message").alias("type"), F.lit(role).alias("role"), part(kind).alias("content"))
+    output = F.struct(F.lit("function_call_output").alias("type"), F.lit("c").alias("call_id"), F.concat(F.lit("Exit code: 1\nOutput:\n"), said).alias("output"))
+    line = lambda kind, payload: F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
+    raw = (
+        F.when(way == 0, line("response_item", message("user", "input_text"))).when(way == 1, line("response_item", message("assistant", "output_text")))
+        .when(way == 2, line("response_item", output)).otherwise(line("event_msg", F.struct(F.lit("user_message").alias("type"))))
+    )
+    read = rollout.normalised(t("conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("off"), raw.alias("raw")))
+    return read.select(F.col("path").cast("long").alias("conv_id"), F.col("off").alias("turn"), "kind", "reason", F.sha2(F.when(F.col("reason").isNull(), F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("text_sha256"))
+
+
+@query(
+    "select case turn % 6 when 0 then 'human' when 1 then 'assistant' when 2 then 'meta' when 3 then 'slash' when 4 then 'tool_result' else 'att' end as kind,"
+    " case turn % 6 when 0 then 'typed' when 1 then 'text' when 3 then '/go' when 5 then role end as sub, count(*) as n from conversations group by 1, 2"
+)
+def cls_line_kinds(t) -> DataFrame:
+    """Kinds of lines made of the turns, each turn with other fields."""
+    way, said = F.col("turn") % 6, F.coalesce("text", F.lit(""))
+    text = F.when(way == 3, F.concat(F.lit("<command-name>/go</command-name><command-args>x "), F.regexp_replace(said, "[<>]", ""), F.lit("</command-args>"))).otherwise(said)
+    raw = F.to_json(F.struct(
+        F.when(way == 5, "attachment").when(way == 1, "assistant").otherwise("user").alias("type"), F.when(way == 0, "typed").alias("promptSource"), F.when(way == 2, True).alias("isMeta"),
+        F.when(way == 4, F.struct(said.alias("stdout"))).alias("toolUseResult"), F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")).alias("message"),
+        F.struct(F.col("role").alias("type")).alias("attachment"),
+    ))
+    kinds = t("conversations").select(lines.classify_line(F.try_parse_json(raw)).alias("k"))
+    return kinds.groupBy("k.kind", "k.sub").agg(F.count("*").alias("n"))
+
+
 # Redaction ---------------------------------------------------------------
 
 

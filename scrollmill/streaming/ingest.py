@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lines import classify_line
 from ..functions.policy import line_policy
 from ..functions.redaction import redact
 from ..functions.text import file_id
@@ -26,12 +27,19 @@ def events(lines: DataFrame) -> DataFrame:
     policy = line_policy(get("$.type"), F.coalesce(get("$.subtype"), F.lit("")), F.coalesce(get("$.attachment.type"), F.lit("")))
     sid, uuid = F.coalesce(get("$.sessionId"), F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)), get("$.uuid")
     key = F.when(uuid.isNotNull(), F.concat(sid, F.lit(":"), uuid)).otherwise(F.concat(sid, F.lit(":o:"), file_id(F.col("path")), F.lit(":"), F.col("off"), F.lit(":"), F.substring(F.sha1(F.col("raw").cast("binary")), 1, 8)))
-    return lines.select(
+    made = lines.select(
         key.alias("key"), sid.alias("sid"), file_id(F.col("path")).alias("fid"), "path", "off", get("$.type").alias("type"), get("$.subtype").alias("sub"),
         F.try_to_timestamp(get("$.timestamp")).alias("ts"), get("$.message.id").alias("msg_id"), get("$.message.model").alias("model"),
         *(get(f"$.message.usage.{p}").cast("long").alias(c) for c, p in USAGE.items()), redact(F.col("raw")).alias("raw"), F.sha1(F.col("raw").cast("binary")).alias("lsha"),
         F.coalesce(bad, F.when(~policy["keep"], policy["reason"])).alias("excluded"), F.when(bad.isNull() & policy["keep"], policy["reason"]).alias("unknown"),
     )
+    # What a line is called is judged after redaction, once for each line.
+    judged = made.withColumn("k", classify_line(F.when(F.col("excluded").isNull(), F.try_parse_json("raw"))))
+    strange, stored = F.col("unknown").isNotNull(), F.col("excluded").isNull()
+    named = F.regexp_replace("unknown", "^unknown_", "")
+    return judged.select(
+        *made.columns, F.when(stored, F.when(strange, "unknown").otherwise(F.col("k.kind"))).alias("kind"), F.when(stored, F.when(strange, named).otherwise(F.col("k.sub"))).alias("kind_sub"),
+    )
 
 
 def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str) -> None:
