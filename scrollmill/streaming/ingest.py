@@ -34,7 +34,7 @@ def events(lines: DataFrame) -> DataFrame:
         F.coalesce(bad, F.when(~policy["keep"], policy["reason"])).alias("excluded"), F.when(bad.isNull() & policy["keep"], policy["reason"]).alias("unknown"),
     )
     # What a line is called is judged after redaction, once for each line.
-    judged = made.withColumn("k", classify_line(F.when(F.col("excluded").isNull(), F.try_parse_json("raw"))))
+    judged = made.withColumn("v", F.when(F.col("excluded").isNull(), F.try_parse_json("raw"))).withColumn("k", classify_line(F.col("v")))
     strange, stored = F.col("unknown").isNotNull(), F.col("excluded").isNull()
     named = F.regexp_replace("unknown", "^unknown_", "")
     return judged.select(
