@@ -9,9 +9,11 @@ a symbol is scored in the state of the longest kept suffix before it. A word's
 probability mixes its spelling's under the tree with its smoothed share of the
 training tokens (the distribution of the root, over whole words).
 
-What is gathered: counts of 64-bit word hashes and of packed contexts, summed
-inside each task before the shuffle. Only the kept tree reaches the driver and
-the executors; ``max_contexts`` bounds it whatever the corpus.
+Nothing is capped: every context that passes the test is kept. Codes are dealt
+into buckets by the three symbols before the next one, so a bucket holds whole
+subtrees and tests and smooths them by itself; each chunk of documents asks the
+buckets for its distinct codes. Only tables over three symbols, whose size the
+alphabet bounds (64 ** 3), reach the driver and all tasks.
 """
 
 from __future__ import annotations
@@ -151,37 +153,19 @@ def byte_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count(make), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Tree:
-    """children[node, symbol]: the node one symbol further back, 0: none kept."""
-
-    depth: int
-    children: np.ndarray
-    log_next: np.ndarray
-    log_byte: np.ndarray
-
-    def states(self, code: np.ndarray) -> np.ndarray:
-        """The node of the longest kept suffix for each packed context."""
-        node = np.zeros(len(code), np.int32)
-        live, at = np.arange(len(code)), np.zeros(len(code), np.int32)
-        for d in range(1, self.depth + 1):
-            at = self.children[at, (code[live] >> (6 * d)) & 63]
-            kept = at > 0
-            live, at = live[kept], at[kept]
-            node[live] = at
-        return node
-
-    def token_scores(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of every word (with its separator) and of every end."""
-        stream, begin = symbol_stream(data, at)
-        code = context_codes(stream, begin, self.depth)
-        per_symbol = np.cumsum(self.log_next[self.states(code), stream], dtype=np.float64)
-        per_byte = np.concatenate([[0.0], np.cumsum(np.where(SPACE[data], 0.0, self.log_byte[LOWERED[data]]))])
-        last = np.flatnonzero(stream <= END)
-        token = np.diff(per_symbol[last], prepend=0.0)
-        ends = stream[last] == END
-        starts, stops, _ = words(data, at, ~SPACE[data])
-        return token[~ends] + per_byte[stops] - per_byte[starts], token[ends]
+def token_scores(data: np.ndarray, at: np.ndarray, depth: int, log_next, log_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probabilities of every word (with its separator) and of every end.
+
+    ``log_next`` gives those of packed contexts with their next symbol.
+    """
+    stream, begin = symbol_stream(data, at)
+    per_symbol = np.cumsum(log_next(context_codes(stream, begin, depth)), dtype=np.float64)
+    per_byte = np.concatenate([[0.0], np.cumsum(np.where(SPACE[data], 0.0, log_byte[LOWERED[data]]))])
+    last = np.flatnonzero(stream <= END)
+    token = np.diff(per_symbol[last], prepend=0.0)
+    ends = stream[last] == END
+    starts, stops, _ = words(data, at, ~SPACE[data])
+    return token[~ends] + per_byte[stops] - per_byte[starts], token[ends]
 
 
 #: Weights of the word distribution beside the character states. A text's
@@ -201,77 +185,122 @@ def mixed(word: np.ndarray, spelled: np.ndarray, first: np.ndarray, end: np.ndar
     return top + np.log10(np.mean(10 ** (views - top), 0))
 
 
-def select_contexts(counts: DataFrame, depth: int, max_contexts: int, min_count: int) -> list[tuple[int, int]]:
-    """(depth, context) of the kept contexts, those of largest divergence first.
+#: Contexts of this depth with their next symbol are few enough for every task.
+NEAR = 2
 
-    Twice the divergence (count times Kullback-Leibler distance to the parent)
-    must exceed the BIC price of the context's own distribution.
-    """
-    def level(d):
-        return counts.groupBy(F.col("key").bitwiseAND((1 << (6 * (d + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
 
-    tested = None
-    for d in range(1, depth + 1):
-        parent_mask = (1 << (6 * d)) - 1
-        own = level(d).withColumn("pkey", F.col("key").bitwiseAND(parent_mask)).withColumn("ctx", F.shiftrightunsigned("key", 6))
-        totals = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= min_count)
-        above = level(d - 1).select(F.col("key").alias("pkey"), F.col("n").alias("pn"), F.shiftrightunsigned("key", 6).alias("pctx"))
-        ptotal = above.groupBy("pctx").agg(F.sum("pn").alias("ptotal"))
-        gain = (
-            own.join(totals, "ctx").join(above, "pkey").join(ptotal, "pctx")
-            .groupBy("ctx")
-            .agg(
-                F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal")))).alias("gain"),
-                F.first("total").alias("total"), F.first("kinds").alias("kinds"),
-            )
-            .where(2 * F.col("gain") > F.col("kinds") * F.log("total") + 10)
-            .select(F.lit(d).alias("d"), "ctx", "gain")
-        )
-        tested = gain if tested is None else tested.unionByName(gain)
-    best = tested.orderBy(F.desc("gain"), "d", "ctx").limit(max_contexts)
-    return [(r.d, r.ctx) for r in best.select("d", "ctx").collect()]
-
-
-def build_tree(counts: DataFrame, bytes_seen: DataFrame, depth: int = 5, max_contexts: int = 16_384, min_count: int = 20) -> Tree:
-    """Test contexts on Spark, then lay out the kept ones (bounded) as arrays."""
-    nodes: dict[tuple[int, int], int] = {(0, 0): 0}
-    for d, ctx in select_contexts(counts, depth, max_contexts, min_count):
-        for k in range(1, d + 1):  # all suffixes, so that a walk can reach it
-            nodes.setdefault((k, ctx & ((1 << (6 * k)) - 1)), len(nodes))
-    spark = counts.sparkSession
-    wanted = spark.createDataFrame([(d, c, i) for (d, c), i in nodes.items()], "d int, ctx long, node int")
-    own = np.zeros((len(nodes), SYMBOLS))
-    for d in range(depth + 1):
-        mask = (1 << (6 * (d + 1))) - 1
-        level = counts.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        rows = (
-            level.withColumn("ctx", F.shiftrightunsigned("key", 6))
-            .join(F.broadcast(wanted.where(F.col("d") == d)), "ctx")  # at most max_contexts * depth rows
-            .select("node", F.col("key").bitwiseAND(63).alias("s"), "n").toPandas()
-        )
-        own[rows["node"].to_numpy(int), rows["s"].to_numpy(int)] = rows["n"].to_numpy(float)
-    children = np.zeros((len(nodes), SYMBOLS), np.int32)
-    next_p = np.zeros((len(nodes), SYMBOLS))
-    for (d, ctx), i in sorted(nodes.items()):
-        if d == 0:
-            prior = np.r_[0, np.full(SYMBOLS - 1, 1 / (SYMBOLS - 1))]
-            kinds = SYMBOLS
+def low(symbols: int) -> int:
+    return (1 << (6 * symbols)) - 1
+
+
+def kept(gain: np.ndarray, total: np.ndarray, kinds: np.ndarray, min_count: int) -> np.ndarray:
+    """Twice the divergence (count times Kullback-Leibler distance to the parent)
+    must exceed the BIC price of the context's own distribution."""
+    return (total >= min_count) & (2 * gain > kinds * np.log(np.maximum(total, 1)) + 10)
+
+
+@dataclass
+class Level:
+    """The contexts of one depth, sorted; ``keys`` are theirs with the next symbol."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    node: np.ndarray
+
+
+def far_levels(keys: np.ndarray, n: np.ndarray, near: np.ndarray, depth: int, min_count: int) -> list[Level]:
+    """The levels over NEAR of whole subtrees: their codes and the counts ``near``."""
+    levels: list[Level] = []
+    for d in range(NEAR + 1, depth + 1):
+        own, back = np.unique(keys & low(d + 1), return_inverse=True)
+        m = np.bincount(back, n, len(own))
+        begin = np.flatnonzero(np.r_[True, np.diff(own >> 6) != 0])
+        kinds, contexts, total = np.diff(np.r_[begin, len(own)]), own[begin] >> 6, np.add.reduceat(m, begin)
+        above = contexts & low(d - 1)
+        if levels:
+            parent = levels[-1]
+            pn, ptotal = parent.n[np.searchsorted(parent.keys, own & low(d))], parent.total[np.searchsorted(parent.contexts, above)]
         else:
-            parent = nodes[d - 1, ctx & ((1 << (6 * (d - 1))) - 1)]
-            children[parent, ctx >> (6 * (d - 1))] = i
-            prior, kinds = next_p[parent], max(1, np.count_nonzero(own[i]))
-        next_p[i] = (own[i] + kinds * prior) / (own[i].sum() + kinds)
+            pn, ptotal = near[own & low(d)], near.reshape(-1, SYMBOLS).sum(1)[above]
+        gain = np.add.reduceat(m * np.log((m / np.repeat(total, kinds)) / (pn / np.repeat(ptotal, kinds))), begin)
+        levels.append(Level(own, m, contexts, total, kinds, kept(gain, total, kinds, min_count)))
+    for d in range(depth, NEAR + 1, -1):  # all suffixes, so that a walk can reach it
+        below, parent = levels[d - NEAR - 1], levels[d - NEAR - 2]
+        parent.node[np.searchsorted(parent.contexts, below.contexts[below.node] & low(d - 1))] = True
+    return levels
+
+
+def near_distribution(near: np.ndarray, reached: np.ndarray, min_count: int) -> np.ndarray:
+    """Probability of each code of NEAR + 1 symbols in its longest kept suffix of
+    NEAR at most; ``reached``: the contexts of NEAR with kept ones beyond them."""
+    two = near.reshape(SYMBOLS, SYMBOLS, SYMBOLS)  # two back, one back, next
+    one, none = two.sum(0), two.sum((0, 1))
+
+    def tested(own, parent):
+        share = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1)
+        ratio = np.where(own > 0, share(own), 1) / np.where(own > 0, share(parent), 1)
+        return kept((own * np.log(ratio)).sum(-1), own.sum(-1), np.count_nonzero(own, -1), min_count)
+
+    def smoothed(own, prior, node):
+        kinds = np.maximum(1, np.count_nonzero(own, -1))[..., None]
+        return np.where(node[..., None], (own + kinds * prior) / (own.sum(-1, keepdims=True) + kinds), prior)
+
+    node_two = tested(two, one[None]) | reached.reshape(SYMBOLS, SYMBOLS)
+    node_one = tested(one, none[None]) | node_two.any(0)
+    root = (none + np.r_[0, np.full(SYMBOLS - 1, SYMBOLS / (SYMBOLS - 1))]) / (none.sum() + SYMBOLS)
+    return smoothed(two, smoothed(one, root[None], node_one)[None], node_two).ravel()
+
+
+def far_probabilities(levels: list[Level], codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``codes`` have a kept context over NEAR, and the probabilities of all
+    in their longest kept suffix; ``p`` has those at NEAR."""
+    far, p = np.zeros(len(codes), bool), p.copy()
+    for d, level in enumerate(levels, NEAR + 1):
+        at = np.minimum(np.searchsorted(level.contexts, (codes >> 6) & low(d)), len(level.contexts) - 1)
+        live = np.flatnonzero((level.contexts[at] == (codes >> 6) & low(d)) & level.node[at])
+        own, at = codes[live] & low(d + 1), at[live]
+        where = np.minimum(np.searchsorted(level.keys, own), len(level.keys) - 1)
+        n = np.where(level.keys[where] == own, level.n[where], 0)
+        p[live] = (n + level.kinds[at] * p[live]) / (level.total[at] + level.kinds[at])
+        far[live] = True
+    return far, p
+
+
+def byte_shares(bytes_seen: DataFrame) -> np.ndarray:
+    """log10 share of each byte in its class."""
     seen = np.zeros(256)
     for r in bytes_seen.collect():  # at most 256
         seen[r.key] = r.n
     usable = ~SPACE & (LOWERED == np.arange(256))
     seen = np.where(usable, seen + 0.5, 0)
     of_class = np.bincount(CLASSES, seen, SYMBOLS)
-    log_byte = np.log10(np.where(usable, seen, 1) / np.where(usable, of_class[CLASSES], 1))
-    return Tree(depth, children, np.log10(np.maximum(next_p, 1e-300)).astype(np.float32), log_byte)
+    return np.log10(np.where(usable, seen, 1) / np.where(usable, of_class[CLASSES], 1))
+
+
+def bucket_of(code, buckets: int):
+    """By the three symbols before the next one; for arrays."""
+    return ((code >> 6) & low(NEAR + 1)) * 48271 % 2147483647 % buckets
+
+
+def packed(codes: np.ndarray, width: int) -> np.ndarray:
+    """(codes, width) low bytes."""
+    return codes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
 
 
-def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, max_contexts: int = 16_384, chunk_bytes: int = 6_000_000) -> DataFrame:
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<i8").ravel()
+
+
+def joined(blobs: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.drop_null().to_pylist()), np.uint8).reshape(-1, width)
+
+
+def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, chunk_bytes: int = 6_000_000, min_count: int = 20) -> DataFrame:
     """Score every whole text of ``docs`` (doc_id, text) under the tree.
 
     Learns from rows whose crc32(doc_id as text) mod ``held_out_mod`` is not 0.
@@ -280,23 +309,73 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, max_contexts:
     A null or empty text has one token, its end. Equal rows get equal results;
     other columns are ignored; an empty table gives an empty result.
 
-    The corpus' word counts are no broadcast: documents are dealt into chunks of
-    about ``chunk_bytes``, each chunk's distinct words are joined with the
-    counts, and chunk and dictionary meet again in one task of bounded size.
+    Neither the corpus' word counts nor its tree are broadcast: documents are
+    dealt into chunks of about ``chunk_bytes``, each chunk's distinct words and
+    codes are joined with the counts and the buckets of the tree, and chunk and
+    dictionary meet again in one task of bounded size.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", remainder(F.col("doc_id"), held_out_mod) == 0)
     train = docs.where(~F.col("held_out"))
     counts = materialize(word_counts(train), "words")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    tree = build_tree(materialize(context_counts(train, depth), "contexts"), byte_counts(train), depth, max_contexts)
-    shared = spark.sparkContext.broadcast(tree)  # bounded by max_contexts
+    seen = materialize(context_counts(train, depth), "contexts")
+    log_byte = byte_shares(byte_counts(train))
     n_all, below = int(total.n), float(total.n + 0.1 * (total.v + 1))
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(64, int(size // chunk_bytes) + 1)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
+    width, buckets = (6 * (depth + 1) + 7) // 8, max(64, chunks // 8, seen.count() // 500_000 + 1)
+    codes = seen.withColumn("bucket", F.expr(f"int((shiftrightunsigned(key, 6) & {low(NEAR + 1)}) * 48271 % 2147483647 % {buckets})"))
+    near = np.zeros(SYMBOLS ** (NEAR + 1))
+    rows = seen.groupBy(F.col("key").bitwiseAND(low(NEAR + 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()  # bounded by the alphabet
+    near[rows["key"].to_numpy(int)] = rows["n"].to_numpy(float)
+    near_shared = spark.sparkContext.broadcast(near)
+
+    def levels_of(codes: pa.Table) -> list[Level]:
+        return far_levels(codes.column("key").to_numpy(), codes.column("n").to_numpy(), near_shared.value, depth, min_count)
+
+    def reach(codes: pa.Table) -> pa.Table:
+        first = levels_of(codes)[:1]
+        found = np.unique(np.concatenate([np.zeros(0, np.int64), *(x.contexts[x.node] & low(NEAR) for x in first)]))
+        return pa.table({"context": pa.array(found, pa.int64())})
+
+    reached = np.zeros(SYMBOLS**NEAR, bool)
+    for r in codes.groupBy("bucket").applyInArrow(reach, "context long").distinct().collect():  # bounded by the alphabet
+        reached[r.context] = True
+    near_p = spark.sparkContext.broadcast(near_distribution(near, reached, min_count))
+
+    def ask(batches):
+        asked: dict[int, list[np.ndarray]] = {}
+        for piece in pieces(batches):
+            stream, begin = symbol_stream(*column(piece.column("text")))
+            code, chunk = context_codes(stream, begin, depth), np.repeat(piece.column("chunk").to_numpy(), np.diff(begin))
+            for c in np.unique(chunk):
+                asked.setdefault(int(c), []).append(np.unique(code[chunk == c]))
+        for c, found in asked.items():
+            code = np.unique(np.concatenate(found))
+            bucket = bucket_of(code, buckets)
+            order = np.argsort(bucket, kind="stable")
+            raw, edges = packed(code[order], width), np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+            blobs = [raw[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[order][edges[:-1]], pa.int32()), pa.array(np.full(len(blobs), c, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "codes"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        levels, chunk, out = levels_of(left) if left.num_rows else [], [], []
+        for c, blob in zip(right.column("chunk").to_pylist(), right.column("codes").to_pylist(), strict=True):
+            code = unpacked(np.frombuffer(blob, np.uint8).reshape(-1, width))
+            far, p = far_probabilities(levels, code, near_p.value[code & low(NEAR + 1)])
+            if far.any():
+                chunk.append(c)
+                out.append(np.hstack([packed(code[far], width), np.log10(p[far]).astype("<f4").view(np.uint8).reshape(-1, 4)]).tobytes())
+        return pa.table({"chunk": pa.array(chunk, pa.int32()), "spelled": pa.array(out, pa.binary())})
+
+    asked = dealt.mapInArrow(ask, "bucket int, chunk int, codes binary")
+    answers = codes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "chunk int, spelled binary")
+
     def distinct(batches):
         tallies: dict[int, list[np.ndarray]] = {}
         for piece in pieces(batches):
@@ -309,13 +388,23 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, max_contexts:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys)], ["chunk", "key"])
 
     known = dealt.mapInArrow(distinct, "chunk int, key long").join(counts, "key").select("chunk", "key", "n")
+    known = known.unionByName(answers, allowMissingColumns=True)
     end_n = counts.where(F.col("key") == int(END_KEY)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     floor = np.log10(0.1 / below)
     end_base = np.log10((end_n + 0.1) / below)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = shared.value
-        keys, n = right.column("key").to_numpy(), right.column("n").to_numpy()
+        raw = joined(right.column("spelled"), width + 4)
+        codes, log_p = unpacked(raw[:, :width]), raw[:, width:].copy().view("<f4").ravel()
+        order = np.argsort(codes)
+        codes, log_p = np.r_[codes[order], np.iinfo(np.int64).max], np.r_[log_p[order], np.float32(0)]
+        log_near = np.log10(np.maximum(near_p.value, 1e-300)).astype(np.float32)
+
+        def log_next(code):
+            where = np.searchsorted(codes[:-1], code)
+            return np.where(codes[where] == code, log_p[where], log_near[code & low(NEAR + 1)])
+
+        keys, n = (right.column(c).drop_null().to_numpy() for c in ("key", "n"))
         order = np.argsort(keys)
         keys, logs = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[np.log10((n[order] + 0.1) / below), 0.0]
         out = []
@@ -326,7 +415,7 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, max_contexts:
             hit = keys[where] == own
             word = np.where(hit, logs[where], floor)
             base = sums(word, first) + end_base
-            spelled, end_spelled = tree.token_scores(data, at)
+            spelled, end_spelled = token_scores(data, at, depth, log_next, log_byte)
             total = mixed(word, spelled, first, np.full(len(first) - 1, end_base), end_spelled)
             known = sums(hit.astype(np.int8), first).astype(np.int64) + (end_n > 0)
             out.append(pa.RecordBatch.from_arrays(

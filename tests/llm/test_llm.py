@@ -1,4 +1,7 @@
 import hashlib
+import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,6 +119,46 @@ def test_suffix_tree_scores(spark):
     assert r[r.held_out].score.sum() > r[r.held_out].base_score.sum()
 
 
+def test_suffix_tree_keeps_every_context(spark):
+    """More contexts pass than the 16,384 that were once kept; against brute force."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    triples = [(a, b, c) for a in range(26) for b in range(26) for c in range(26)]
+    vocabulary = ["".join(letters[i] for i in (a, b, c, (a * 7 + b * 11 + c * 17 + a * b * c) % 26)) for a, b, c in triples]
+    ids = {out: [i for i in range(60_000) if (zlib.crc32(str(i).encode()) % 10 == 0) == out] for out in (False, True)}
+    train, held = dict(zip(ids[False], (" ".join([w] * 22) for w in vocabulary))), dict(zip(ids[True], vocabulary[::37]))
+    found = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame([*train.items(), *held.items()], "doc_id long, text string"), depth=3).collect()}
+
+    stream = lambda text: "^^^" + text.replace(" ", "|") + "|$"
+    counts = [Counter() for _ in range(4)]
+    for s in map(stream, train.values()):
+        for d in range(4):
+            counts[d].update(s[i - d : i + 1] for i in range(3, len(s)))
+    total, kinds, gain, nodes = Counter(), Counter(), Counter(), set()
+    for d in range(4):
+        for code, n in counts[d].items():
+            total[code[:-1]] += n
+            kinds[code[:-1]] += 1
+    for d in range(1, 4):
+        for code, n in counts[d].items():
+            gain[code[:-1]] += n * math.log(n / total[code[:-1]] / (counts[d - 1][code[1:]] / total[code[1:-1]]))
+    passing = [c for c in gain if total[c] >= 20 and 2 * gain[c] > kinds[c] * math.log(total[c]) + 10]
+    assert len(passing) > 16_384
+    nodes.update(c[k:] for c in passing for k in range(len(c)))
+
+    def p(code):
+        ctx, n = code[:-1], counts[len(code) - 1][code]
+        if not ctx:
+            return (n + 64 / 63) / (total[""] + 64)
+        return (n + kinds[ctx] * p(code[1:])) / (total[ctx] + kinds[ctx]) if ctx in nodes else p(code[1:])
+
+    below = 23 * len(train) + 0.1 * (len(train) + 2)
+    word, end = 22.1 / below, (len(train) + 0.1) / below
+    for i, text in held.items():
+        each = [p(stream(text)[k - 3 : k + 1]) for k in range(3, len(stream(text)))]
+        want = np.mean([(w * word + (1 - w) * math.prod(each[:-1])) * (w * end + (1 - w) * each[-1]) for w in suffix_tree.WEIGHTS])
+        assert found[i] == pytest.approx(math.log10(want), abs=1e-4)
+
+
 def test_models_generalise(spark):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = quality.score(d, y).withColumnRenamed("quality", "p").join(y, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).toPandas()
