@@ -74,18 +74,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("nr", "source", "source_size", F.least(F.col("source_size") * float(MOST), F.col("weight") * F.lit(float(level))).alias("target"))
 
 
-def mix(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
-    """The columns of ``sizes`` (doc_id, source, size, ...) with source_size,
-    target and taken: how many of each document's words the mix holds.
+def packed(sizes: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plan (one row a source), and the rows of ``sizes`` with nr and start:
+    first without their text but with its hash, then with it (if there is one).
 
-    ``taken`` counts repeats; a source's sum is within a block of its target and
-    no document exceeds twice its size, as each pass takes a block once at most
-    and targets end two passes. Rows without words take 0; a null source is a
-    source; repeated rows each take their own part; an empty table gives none.
     Offsets within a source are summed in buckets that follow the row count, so
     a source with a third of all rows fills no single task.
     """
-    sizes = materialize(sizes, "sizes")
+    whole = sizes if "text" in sizes.columns else sizes.withColumn("text", F.lit(None).cast("string"))
+    whole = whole.withColumn("text_key", F.xxhash64("text"))
+    sizes = materialize(whole.drop("text"), "sizes")
     plan = materialize(
         targets(sizes)
         .withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
@@ -95,24 +93,60 @@ def mix(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
     rows = sizes.count()
     buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
     bucket = f"({mixed('abs(coalesce(doc_id, -1))', '1', str(seed))} % {buckets})"
-    kept = [c for c in sizes.columns if c != "source"]
-    own = sizes.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).select(*kept, "source", "nr", "source_size", "target", F.expr(bucket).alias("bucket"))
-    own = materialize(own, "mix-own")
+
+    def of_source(df):
+        kept = [c for c in df.columns if c != "source"]
+        return df.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).select(*kept, "source", "nr", "source_size", "target", F.expr(bucket).alias("bucket"))
+
+    own = materialize(of_source(sizes), "mix-own")
     sums = own.groupBy("nr", "bucket").agg(F.sum("size").alias("bucket_size"))
     upto = W.partitionBy("nr").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = materialize(sums.select("nr", "bucket", (F.sum("bucket_size").over(upto) - F.col("bucket_size")).alias("offset")), "mix-offsets")
-    inside = W.partitionBy("nr", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = own.withColumn("run", F.sum("size").over(inside) - F.col("size")).join(offsets, ["nr", "bucket"]).withColumn("start", F.col("offset") + F.col("run"))
-    placed = materialize(placed.select(*kept, "source", "nr", "source_size", "target", "start"), "mix-placed")
+    inside = W.partitionBy("nr", "bucket").orderBy("doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def started(df):
+        return df.withColumn("run", F.sum("size").over(inside) - F.col("size")).join(offsets, ["nr", "bucket"]).withColumn("start", F.col("offset") + F.col("run")).drop("bucket", "offset", "run")
+
+    return plan, materialize(started(own), "mix-placed"), started(of_source(whole))
 
+
+def dealt(plan: DataFrame, whole: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
+    """The mix itself, one row a slot: shard, slot, nr, source, block, words and
+    parts, array<struct<start, doc_id, words, text>>, the pieces of documents in
+    the block by their place in the source; their words are joined by spaces.
+    """
+    cut = F.expr(f"""explode(transform(array(regexp_extract_all(text, '{WORD}', 0)), w -> transform(
+        sequence(start div {block_words}, (start + size - 1) div {block_words}),
+        b -> named_struct('block', b, 'words', least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words}),
+            'text', array_join(slice(w, int(greatest(0L, b * {block_words} - start)) + 1, int(least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words}))), ' '))))[0])""".replace("\\", "\\\\"))
+    pieces = whole.where("size > 0").select("nr", "source", "start", "doc_id", cut.alias("p"))
+    pieces = pieces.select("nr", "source", F.col("p.block").alias("block"), F.struct("start", "doc_id", "p.words", "p.text").alias("part"))
+    blocks = pieces.groupBy("nr", "block").agg(F.first("source").alias("source"), F.sum("part.words").alias("words"), F.sort_array(F.collect_list("part")).alias("parts"))
     # Both sides follow the input, which the planner's estimates don't see past
-    # explode(); the hints keep it from broadcasting them.
-    drawn = slots(plan, seed).groupBy("nr", "block").agg(F.count("*").alias("times"))
-    block = F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})"))
-    pieces = placed.where("size > 0").select("nr", "start", "size", block.alias("block"))
-    pieces = pieces.withColumn("words", F.expr(f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})"))
-    taken = pieces.join(drawn.hint("merge"), ["nr", "block"]).groupBy("nr", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    taken = taken.select(F.col("nr").alias("t_nr"), F.col("start").alias("t_start"), "taken")
+    # explode(); the hint keeps it from broadcasting them.
+    return materialize(blocks.join(slots(plan, seed).hint("merge"), ["nr", "block"]).select("shard", "slot", "nr", "source", "block", "words", "parts"), "mix", "zstd")  # repeats of a block stand together
+
+
+def blocks(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
+    """The mix of ``sizes`` (doc_id, source, size, text) as ``dealt`` gives it."""
+    plan, _, whole = packed(sizes, block_words, seed)
+    return dealt(plan, whole, block_words, seed)
+
+
+def mix(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
+    """The columns of ``sizes`` (doc_id, source, size, ...) but its text, with
+    source_size, target and taken: how many of each document's words the mix
+    holds, summed from the written mix.
+
+    ``taken`` counts repeats; a source's sum is within a block of its target and
+    no document exceeds twice its size, as each pass takes a block once at most
+    and targets end two passes. Rows without words take 0; a null source is a
+    source; repeated rows each take their own part; an empty table gives none.
+    """
+    kept = [c for c in sizes.columns if c not in ("source", "text")]
+    plan, placed, whole = packed(sizes, block_words, seed)
+    parts = dealt(plan, whole, block_words, seed).select("nr", F.explode("parts").alias("p"))
+    taken = parts.groupBy(F.col("nr").alias("t_nr"), F.col("p.start").alias("t_start")).agg(F.sum("p.words").alias("taken"))
     found = placed.join(taken.hint("merge"), (F.col("nr") == F.col("t_nr")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
     return found.select(*kept, "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -135,5 +169,5 @@ def slots(plan: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
-    """The drawn multinomial counts: (shard, nr, n)."""
+    """The drawn multinomial counts of a mix: (shard, nr, n)."""
     return slots.groupBy("shard", "nr").agg(F.count("*").alias("n"))

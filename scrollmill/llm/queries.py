@@ -31,7 +31,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    sizes = mixing.sized(table(spark, sf_dir, "documents"), F.col("text"))
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 

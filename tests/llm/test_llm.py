@@ -104,6 +104,44 @@ def test_mixing_meets_targets_and_permutes(spark):
     assert n.distinct().count() == 1000
 
 
+def test_mixing_writes_shards_and_blocks(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(200).unionByName(spark.createDataFrame([(-1, None)] * 2, "doc_id long, text string"), allowMissingColumns=True)
+    made = mixing.blocks(mixing.sized(d, F.col("text")))
+    rows = made.collect()
+    assert sorted(r.shard * mixing.SHARD_SLOTS + r.slot for r in rows) == list(range(len(rows)))
+    texts = {}
+    for r in d.collect():
+        if words := (r.text or "").split():
+            texts.setdefault(r.source, Counter())[r.doc_id, " ".join(words)] += 1
+    complete = 0
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        by_block = {r.block: r.parts for r in own}
+        assert all(r.parts == by_block[r.block] and r.words == sum(len(p.text.split()) for p in r.parts) for r in own)
+        assert all(r.words == 128 for r in own if r.block < max(by_block))
+        n_blocks = -(-sum(len(t.split()) * n for (_, t), n in texts[source].items()) // 128)
+        if len(by_block) < n_blocks:  # the target leaves blocks out
+            continue
+        complete += 1
+        whole = {}
+        for b in sorted(by_block):
+            for p in by_block[b]:
+                whole.setdefault((p.start, p.doc_id), []).append(p.text)
+        for (_, i), parts in whole.items():
+            texts[source][i, " ".join(parts)] -= 1
+        assert not any(texts[source].values())
+    assert complete
+    drawn = {(r.shard, r.nr): r.n for r in mixing.shard_counts(made).collect()}
+    assert drawn == Counter((r.shard, r.nr) for r in rows)
+    taken = {r.doc_id: r.taken for r in mixing.mix(mixing.sized(d, F.col("text"))).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect() if r.taken}
+    want = Counter()
+    for r in rows:
+        for p in r.parts:
+            want[p.doc_id] += p.words
+    assert taken == want
+    assert {"shard", "slot", "text"} <= set(corpus_pipeline.mix_sources(spark, d, SF).columns)
+
+
 def test_pii_marks_and_spans(spark, docs):
     found = {r.doc_id: r for r in pii.with_spans(docs).withColumn("m", pii.masked()).collect()}[6]
     assert found.m == "é😀 [CARD] [EMAIL] [PHONE] at [IP]"
