@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 
 _LOCAL = "A-Za-z0-9._%+-"
 _OCTET = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+#: Card numbers without marks or in the groups that are printed: 4-4-4-4(-3), 4-6-5, 4-6-4.
+_PAN = "^([0-9]{14,19}|[0-9]{4}([\\\\x20-])[0-9]{4}\\\\2[0-9]{4}\\\\2[0-9]{4}(\\\\2[0-9]{3})?|[0-9]{4}([\\\\x20-])[0-9]{6}\\\\4[0-9]{4,5})$"
+_IBAN = "^[A-Z]{2}[0-9]{2}(\\\\x20?[A-Z0-9]{4}){2,7}(\\\\x20?[A-Z0-9]{1,3})?$"
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+#: SQL for a country's fixed length; others may end anywhere.
+_IBAN_LENGTH = "(case " + " ".join(f"when substr(plain, 1, 2) in ({', '.join(repr(c) for c in names.split())}) then {n}" for n, names in _LENGTHS.items()) + " else least(34, length(plain)) end)"
+#: Kinds whose matches may overlap and end early: all their ends are tested at
+#: every start that is no part of a longer token, and the longest that holds counts.
+RUNS = ("pan", "iban")
 #: Fixed values, by kind: pattern, a cheap test that texts without a match fail,
 #: a condition on the match ``v`` (SQL), score, and words nearby that raise it.
 KINDS = {
@@ -20,8 +32,8 @@ KINDS = {
     "ip": ("(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", "[0-9]\\.[0-9]", f"v rlike '^{_OCTET}(\\\\.{_OCTET}){{3}}$'", 0.6, "ip|host|server|address|login"),
     "card": ("[0-9](?:[\\x20-]?[0-9])++", "[0-9](?:[\\x20-]?[0-9]){13}", "length(digits) between 14 and 19 and luhn = 0", 0.7, "card|visa|credit|payment|carte|tarjeta|karte"),
     "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9]", "length(digits) between 10 and 15", 0.6, "phone|tel|call|fax|mobile"),
-    "pan": ("(?<![0-9])[0-9]{4}([\\x20-]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?![0-9])", "[0-9](?:[\\x20-]?[0-9]){13}", "length(digits) = 16 and luhn = 0", 0.7, "card|visa|credit|payment|carte|tarjeta|karte"),
-    "iban": ("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}+(?:\\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}", "mod97 = 1", 0.8, "iban|bank|konto|account|compte|cuenta"),
+    "pan": ("(?<![0-9])(?=([0-9](?:[\\x20-]?[0-9]){13,18}+[0-9]?))", "[0-9](?:[\\x20-]?[0-9]){13}", f"v rlike '{_PAN}' and length(digits) between 14 and 19 and luhn = 0", 0.7, "card|visa|credit|payment|carte|tarjeta|karte"),
+    "iban": ("(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){8,30}+[A-Za-z0-9]?))", "[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}", f"v rlike '{_IBAN}' and length(plain) = {_IBAN_LENGTH} and mod97 = 1", 0.8, "iban|bank|konto|account|compte|cuenta"),
     "ssn": ("(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "not v rlike '^(000|666|9)|-00-|-0000$'", 0.3, "ssn|social security|taxpayer"),
     "secret": ("(?i)\\b(?:api_?key|token|secret|passw(?:or)?d)\\b\\x20?[=:]\\x20?[\"']?[A-Za-z0-9_+/=-]{16,}+", "[=:]\\x20?[\"']?[A-Za-z0-9_+/=-]{16}", "true", 0.6, "config|export|auth|login"),
 }
@@ -43,9 +55,14 @@ def _confirmed(kind: str) -> str:
     plain = "replace(s.v, ' ', '')"
     # Mod 97: country and check digits moved to the end, letters as two digits.
     mod97 = f"aggregate(filter(split(concat(substr({plain}, 5), substr({plain}, 1, 4)), ''), c -> c <> ''), 0, (a, c) -> if(c between '0' and '9', (a * 10 + ascii(c) - 48) % 97, (a * 100 + ascii(c) - 55) % 97))"
-    holds = holds.replace("digits", digits).replace("luhn", luhn).replace("mod97", mod97).replace("v rlike", "s.v rlike")
+    holds = holds.replace("digits", digits).replace("luhn", luhn).replace("mod97", mod97).replace("plain", plain).replace("v rlike", "s.v rlike")
     placed = """aggregate(slice(arrays_zip(__pii_m, __pii_p), 1, size(__pii_m)), named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,v:string>>)),
         (a, z) -> named_struct('pos', a.pos + length(z.__pii_p) + length(z.__pii_m), 'out', concat(a.out, array(named_struct('start', a.pos + length(z.__pii_p), 'v', z.__pii_m)))), a -> a.out)"""
+    if kind in RUNS:  # the pattern looks ahead, from a text with one character before it
+        placed = placed.replace("'pos', 0", "'pos', -1").replace("a.pos + length(z.__pii_p) + length(z.__pii_m)", "a.pos + length(z.__pii_p)")
+        ends = "transform(sequence(14, greatest(14, length(s.v))), e -> named_struct('start', s.start, 'v', substr(s.v, 1, e), 'after', substr(s.v, e + 1, 1)))"
+        placed = f"filter(transform({placed}, s -> try_element_at(filter({ends}, s -> not s.after rlike '[A-Za-z0-9]' and {holds}), -1)), s -> s is not null)"
+        holds = "true"
     kept = f"filter({placed}, s -> {holds})" if holds != "true" else placed
     before = f"lower(substring(__pii_text, greatest(1, s.start + 1 - {NEAR}), least(s.start, {NEAR})))"
     rated = f"least(1.0D, {score}D + if({before} rlike '(?:{nearby})', {LIFT}D, 0.0D))"
@@ -68,8 +85,9 @@ def with_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFr
     for kind in kinds:
         pattern, cheap = _quoted(KINDS[kind][0]), KINDS[kind][1]
         test = "contains(__pii_text, '@')" if cheap == "@" else f"__pii_text rlike {_quoted(cheap)}"
-        found = found.withColumn("__pii_m", F.expr(f"if({test}, regexp_extract_all(__pii_text, {pattern}, 0), {none})"))
-        found = found.withColumn("__pii_p", F.expr(f"if(size(__pii_m) > 0, split(__pii_text, {pattern}, -1), {none})"))
+        whole, group = ("concat('\\n', __pii_text)", 1) if kind in RUNS else ("__pii_text", 0)
+        found = found.withColumn("__pii_m", F.expr(f"if({test}, regexp_extract_all({whole}, {pattern}, {group}), {none})"))
+        found = found.withColumn("__pii_p", F.expr(f"if(size(__pii_m) > 0, split({whole}, {pattern}, -1), {none})"))
         found = found.withColumn(f"__pii_{kind}", F.expr(_confirmed(kind))).drop("__pii_m", "__pii_p")
     if "pan" in kinds and "card" in kinds:  # card numbers inside longer runs of digits; the others are cards already
         found = found.withColumn("__pii_pan", F.expr("filter(__pii_pan, s -> not exists(__pii_card, c -> c.start < s.end and s.start < c.end))"))

@@ -150,6 +150,24 @@ def test_pii_marks_and_spans(spark, docs):
     assert [s.kind for s in iban] == ["iban", "ssn"]
 
 
+def test_pii_numbers_beside_other_tokens(spark):
+    texts = {
+        "BE68 5390 0754 7034 BIC GEBABEBB": [("iban", "BE68 5390 0754 7034")],
+        "😀 LU28 0019 4006 4475 0000 2024": [("iban", "LU28 0019 4006 4475 0000")],
+        "BE68 LU28 0019 4006 4475 0000": [("iban", "LU28 0019 4006 4475 0000")],
+        "BE69 5390 0754 7034 or xBE68 5390 0754 7034": [],
+        "2024 4111 1111 1111 1111": [("pan", "4111 1111 1111 1111")],
+        "é 12 4111111111111111 7": [("pan", "4111111111111111")],
+        "77 3782 822463 10005": [("pan", "3782 822463 10005")],
+        "4111-1111-1111-1111": [("card", "4111-1111-1111-1111")],
+        "4111 1111 1111 1112 5": [],
+    }
+    found = pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in found:
+        assert [(s.kind, s.value) for s in r.spans] == texts[r.text], r.text
+        assert all(r.text[s.start : s.end] == s.value for s in r.spans)
+
+
 def test_suffix_tree_scores(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, "")], "doc_id long, text string"))
     r = suffix_tree.score(d, depth=3).toPandas().set_index("doc_id")
