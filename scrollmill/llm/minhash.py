@@ -161,3 +161,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
         .select("a", "b", (both / (F.size("grams_a") + F.size("grams_b") - both)).alias("jaccard"))
         .where(F.col("jaccard") >= threshold)
     )
+
+
+def memberships(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text).
+
+    class_id names the class of equal shingle sets by its smallest doc_id, and
+    n_links counts the pairs of ``near_duplicates`` that the class is part of.
+    Rows without a doc_id belong to their text's class; one of such rows alone
+    has no name (null) and no links. Texts without words are one class, without
+    links.
+    """
+
+    def run(batches):
+        for piece in pieces(batches):
+            x, counts = shingles(*column(piece.column("text")))
+            keys = [hashlib.blake2b(np.unique(s).tobytes(), digest_size=16).hexdigest() for s in np.split(x, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(keys, pa.string())], ["doc_id", "key"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(texts.mapInArrow(run, "doc_id long, key string"), "minhash-rows")
+    named = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("class_id")), "minhash-names")
+    pairs = materialize(near_duplicates(docs, threshold, bands), "minhash-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    names = named.join(ends, "class_id", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(names, "key").select("doc_id", "class_id", "n_links")

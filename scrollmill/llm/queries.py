@@ -50,6 +50,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.memberships(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
@@ -71,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op7_winnowing, op8_toxicity, op9_warc, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash)}
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
 _ROLE = "replace(replace(" + _ESCAPED.format("role") + ", ':', '\\c'), chr(10), '\\n')"

@@ -87,6 +87,14 @@ def test_minhash_neighbours_and_pairs(spark, docs):
     assert [(r.a, r.b) for r in pairs] == [(1, 2)] and pairs[0].jaccard == pytest.approx(193 / 196)
 
 
+def test_minhash_memberships_keep_every_row(spark):
+    base = [f"w{i}" for i in range(200)]
+    one, near = " ".join(base), " ".join(base[:-3])
+    rows = [(1, one), (2, near), (3, "other words " * 50), (4, one), (None, one), (None, "only here"), (5, None), (6, "  ")]
+    found = minhash.memberships(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, found)) == sorted(map(str, [spark.createDataFrame([r], "doc_id long, class_id long, n_links long").first() for r in [(1, 1, 1), (2, 2, 1), (3, 3, 0), (4, 1, 1), (None, 1, 1), (None, None, 0), (5, 5, 0), (6, 5, 0)]]))
+
+
 def test_trees_choose_the_best_branch(spark):
     rows = [("t", 1, None, "user", "\\h ### a", 0.0), ("t", 2, 1, "assistant", "b</turn>", 0.9), ("t", 3, 1, "assistant", "c", 0.1), ("t", 4, 2, "user", "d: e\n", 0.5), ("u", 1, 2, "user", "x", 0.0), ("u", 2, 1, "user", "y", 0.0), (None, 1, 9, "as:sis", None, None)]
     nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double").na.fill({"text": ""})
