@@ -19,10 +19,9 @@ def components(links: DataFrame) -> DataFrame:
     but one emptiness test a round reaches the driver.
     """
     links = materialize(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    labels = None
-    for turn in range(200):
-        if links.isEmpty():
-            break
+    labels, turn = None, 0
+    while not links.isEmpty():
+        turn += 1
         rank = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.struct(rank(F.col("v")).alias("r"), F.col("v"))).alias("m"))
