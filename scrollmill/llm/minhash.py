@@ -11,10 +11,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import materialize
 from .textarrays import LOWERED, SPACE, column, mix, pieces, range_hashes, words
@@ -67,7 +67,32 @@ def of_texts(texts: list[str]) -> np.ndarray:
 
 
 _ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_EDGE = ", edge boolean, first_text string, last_text string"
+#: Of no id, and of what stands behind all others of its part.
+NO_ID, BEHIND = -(1 << 63), (1 << 63) - 1
+
+
+def part_starts(rows: DataFrame, parts: int, each: int = 20) -> list[tuple[int, int]]:
+    """Sorted (o, key) of real rows at which about ``parts`` ranges of equal size
+    begin; the first is the least of all. About ``each`` sampled pairs of numbers
+    a range reach the driver; the sample moves borders, never rows."""
+    n = rows.count()
+    if not n:
+        return []
+    drawn = sorted({(r.o, r.key) for r in rows.sample(min(1.0, each * parts / n), seed=5).collect()})
+    least = rows.agg(F.min(F.struct("o", "key")).alias("m")).first().m
+    return sorted({(least.o, least.key), *drawn[each // 2 :: each]})
+
+
+def part_of(starts: list[tuple[int, int]], o: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The index of the last start that is not behind each (o, key)."""
+    ids, keys = (np.array(x, np.int64) for x in zip(*starts, strict=True))
+    low, high = np.searchsorted(ids, o, "left"), np.searchsorted(ids, o, "right")
+    out = high - 1
+    among = np.flatnonzero(high > low)  # the id of a start itself: keys decide
+    for i in np.unique(low[among]):
+        own = among[low[among] == i]
+        out[own] = i - 1 + np.searchsorted(keys[i : high[own[0]]], key[own], "right")
+    return out
 
 
 def _rows(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> list[list]:
@@ -85,47 +110,49 @@ def fingerprints_with_edits(docs: DataFrame, partitions: int | None = None) -> D
     text's, and their likeness to each other and to the next document's.
 
     The edited text ends with the start of the next document's, by ascending
-    (doc_id, text), nulls first; the last is followed by the first (a lone row
-    by itself). Null texts are empty. One range shuffle brings neighbours
-    together; tasks stream through their range, and only the rows at the borders
-    between tasks (one a task) are paired in a second, small step.
+    doc_id (nulls first; repeats of an id by the hash of their text); the last
+    is followed by the first, a lone row by itself. Null texts are empty; very
+    long ones take memory for themselves alone; an empty table gives an empty
+    result; other columns are ignored.
+
+    Rows are dealt into ranges of (doc_id, hash of the text), so that an id that
+    many rows share is split, and every range gets the text that begins the next
+    one as a last row: one shuffle of the texts, nothing stored in between, and
+    tasks stream through their ranges row by row.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("o"), F.xxhash64("text").alias("key"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = part_starts(docs.select("o", "key"), 4 * n)
+    if not starts:
+        return spark.createDataFrame([], _ROW)
+
+    @F.pandas_udf("int")
+    def part(o: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(part_of(starts, o.to_numpy(), key.to_numpy()))
+
+    begin = spark.createDataFrame([(o, k, (i - 1) % len(starts)) for i, (o, k) in enumerate(starts)], "b_o long, b_key long, part int")
+    heads = docs.join(F.broadcast(begin), (F.col("o") == F.col("b_o")) & (F.col("key") == F.col("b_key"))).groupBy("part").agg(F.min("text").alias("text"))
+    ends = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(BEHIND).alias("o"), F.lit(BEHIND).alias("key"), "part", F.lit(True).alias("end"))
+    whole = docs.withColumn("part", part("o", "key")).withColumn("end", F.lit(False)).unionByName(ends)
+    ranges = whole.repartition(n, "part").sortWithinPartitions("part", "end", "o", "key", "text", "doc_id").select("doc_id", "text", "end")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    schema = pa.schema(list(zip([c.split()[0] for c in _ROW.split(", ")], kinds, strict=True)))
 
     def run(batches):
-        first, held = None, None  # held: the last row so far, whose next is yet to come
+        held = ([], [], [], np.zeros((0, PERMUTATIONS), np.uint16))  # the row whose next is yet to come
         for piece in pieces(batches):
-            ids, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
-            own = signatures(*column(piece.column("text")))
-            first = texts[0] if first is None else first
-            if held:
-                ids, texts, own = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], own])
-            held = ids[-1], texts[-1], own[-1:]
-            if len(ids) > 1:
-                out = _rows(ids[:-1], texts[:-1], texts[1:], own[:-1], own[1:])
-                empty = [None] * (len(ids) - 1)
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, [*out, [False] * (len(ids) - 1), empty, empty], strict=True)), schema)
-        if held:
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, [[held[0]], *[[None]] * 6, [True], [first], [held[1]]], strict=True)), schema)
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
-    schema = pa.schema(list(zip([c.split()[0] for c in (_ROW + _EDGE).split(", ")], kinds, strict=True)))
-    found = materialize(docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _ROW + _EDGE), "minhash")
-
-    order = W.orderBy(F.col("doc_id").asc_nulls_first())  # over one row for each task
-    edges = found.where("edge").select("doc_id", "last_text", F.lead("first_text").over(order).alias("following"), F.first("first_text").over(order).alias("wrap"))
-
-    def finish(batches):
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("last_text").to_pylist()
-            following = b.column("following").to_pylist()
-            out = _rows(ids, texts, following, of_texts(texts), of_texts(following))
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names[:7], out, strict=True)), pa.schema(list(schema)[:7]))
-
-    rest = edges.select("doc_id", "last_text", F.coalesce("following", "wrap").alias("following")).mapInArrow(finish, _ROW)
-    return found.where(~F.col("edge")).select(*rest.columns).unionByName(rest)
+            ids, texts, end = (h + piece.column(c).to_pylist() for h, c in zip(held, ("doc_id", "text", "end"), strict=False))
+            own = np.concatenate([held[3], signatures(*column(piece.column("text")))])
+            held = ids[-1:], texts[-1:], end[-1:], own[-1:]
+            at = [i for i in range(len(ids) - 1) if not end[i]]
+            if at:
+                pick = lambda x, d=0: [x[i + d] for i in at]  # noqa: B023, E731
+                out = _rows(pick(ids), pick(texts), pick(texts, 1), own[at], own[np.array(at) + 1])
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, out, strict=True)), schema)
+
+    return ranges.mapInArrow(run, _ROW)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
