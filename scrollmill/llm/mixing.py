@@ -1,10 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Documents of a source, in a fixed pseudorandom order, are packed into blocks of
-fixed length. Output shards draw their source counts from a multinomial
-conditioned on the sources' totals (every source's slots are dealt by one
-pseudorandom permutation of all slots), the slots of a source map through a
-permutation of its block indexes for each pass, and blocks are joined by index.
+Documents of a source are dealt into buckets and packed there, in a fixed order,
+into blocks of fixed length (the last of a bucket may be shorter). Every output
+shard draws how many of its slots each source gets: a multinomial conditioned on
+the sources' totals, as one pseudorandom permutation deals all slots to shards.
+The counts give each source's range of slot numbers in the shard, numbers map
+through a permutation of the source's block indexes for each pass, and blocks are
+joined by index.
 
 Permutations are swap-or-not networks over any length, in plain arithmetic, so
 any engine repeats them and no table of random numbers is shipped.
@@ -20,7 +22,7 @@ from .common import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-PRIME, ROUNDS, SHARD_SLOTS, SLOT_CHUNK, LEAST_BUCKETS, BUCKET_ROWS = 2147483647, 12, 4096, 4096, 64, 4096
+PRIME, ROUNDS, SHARD_SLOTS, SLOT_CHUNK, BUCKET_BLOCKS = 2147483647, 12, 4096, 4096, 1024
 
 
 def mixed(a: str, turn: str, seed: str) -> str:
@@ -49,8 +51,8 @@ def permuted(x: str, n: str, by: str) -> str:
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id, source, size) and ``more`` for every row: size in words, null 0."""
-    return docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
+    """(doc_id, source, text, size) and ``more`` for every row: size in words, null 0."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -74,100 +76,144 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("nr", "source", "source_size", F.least(F.col("source_size") * float(MOST), F.col("weight") * F.lit(float(level))).alias("target"))
 
 
-def packed(sizes: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The plan (one row a source), and the rows of ``sizes`` with nr and start:
-    first without their text but with its hash, then with it (if there is one).
+def running(df: DataFrame, keys: list[str], order: str, value: str, name: str, group: int = 1024) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of ``keys`` before this one
+    by ``order``, a number. Groups of orders are summed first, so that no window
+    holds more than a group or the list of groups."""
+    df = df.withColumn("__g", F.expr(f"{order} div {group}"))
+    before = lambda *by: W.partitionBy(*keys, *by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    tops = df.groupBy(*keys, "__g").agg(F.sum(value).alias("__s")).withColumn("__t", so_far("__s", before("__g"))).drop("__s")
+    return df.join(tops, [*keys, "__g"]).withColumn(name, F.col("__t") + so_far(value, before("__g", order))).drop("__g", "__t")
 
-    Offsets within a source are summed in buckets that follow the row count, so
-    a source with a third of all rows fills no single task.
-    """
-    whole = sizes if "text" in sizes.columns else sizes.withColumn("text", F.lit(None).cast("string"))
-    whole = whole.withColumn("text_key", F.xxhash64("text"))
-    sizes = materialize(whole.drop("text"), "sizes")
-    plan = materialize(
-        targets(sizes)
-        .withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-        .withColumn("slots", F.expr("if(source_size = 0, 0L, cast(floor(target * blocks / source_size + 0.5) as long))"))
-        .withColumn("base", F.sum("slots").over(W.orderBy("nr").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("slots")), "mix-plan",
-    )
-    rows = sizes.count()
-    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
-    bucket = f"({mixed('abs(coalesce(doc_id, -1))', '1', str(seed))} % {buckets})"
 
-    def of_source(df):
-        kept = [c for c in df.columns if c != "source"]
-        return df.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).select(*kept, "source", "nr", "source_size", "target", F.expr(bucket).alias("bucket"))
+def bucket(buckets: str, seed: int) -> str:
+    """SQL for a document's bucket; its text counts too, so that an id that many
+    rows share (or none) is spread."""
+    return f"({mixed(f'pmod(coalesce(doc_id, -1), {PRIME}) + mark', '1', str(seed))} % ({buckets}))"
 
-    own = materialize(of_source(sizes), "mix-own")
-    sums = own.groupBy("nr", "bucket").agg(F.sum("size").alias("bucket_size"))
-    upto = W.partitionBy("nr").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = materialize(sums.select("nr", "bucket", (F.sum("bucket_size").over(upto) - F.col("bucket_size")).alias("offset")), "mix-offsets")
-    inside = W.partitionBy("nr", "bucket").orderBy("doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def started(df):
-        return df.withColumn("run", F.sum("size").over(inside) - F.col("size")).join(offsets, ["nr", "bucket"]).withColumn("start", F.col("offset") + F.col("run")).drop("bucket", "offset", "run")
+def packed(sizes: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The plan (one row a source), the buckets (nr, bucket, n blocks, first
+    block), and the rows of ``sizes`` with nr and bucket: without their text but
+    with its hash, as stored, and with it."""
+    mark = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long")
+    whole = sizes.withColumn("text_key", F.xxhash64("text")).withColumn("mark", mark)
+    small = materialize(whole.drop("text"), "sizes")
+    per = targets(small).withColumn("buckets", F.expr(f"greatest(1L, (source_size + {block_words * BUCKET_BLOCKS - 1}) div {block_words * BUCKET_BLOCKS})"))
+
+    def of_source(df):
+        kept = [c for c in df.columns if c not in ("source", "mark")]
+        return df.join(per.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).select(*kept, "source", "nr", "source_size", "target", F.expr(bucket("buckets", seed)).alias("bucket"))
+
+    own = materialize(of_source(small), "mix-own")
+    filled = own.groupBy("nr", "bucket").agg(F.sum("size").alias("words")).select("nr", "bucket", F.expr(f"(words + {block_words - 1}) div {block_words}").alias("n"))
+    filled = materialize(running(filled, ["nr"], "bucket", "n", "first"), "mix-buckets")
+    before = W.orderBy("nr").rowsBetween(W.unboundedPreceding, -1)  # one row a source
+    plan = (
+        per.join(filled.groupBy("nr").agg(F.sum("n").alias("blocks")), "nr")
+        .withColumn("slots", F.expr("if(source_size = 0, 0L, cast(floor(target * blocks / source_size + 0.5) as long))"))
+        .withColumn("base", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    )
+    return materialize(plan, "mix-plan"), filled, own, of_source(whole)
 
-    return plan, materialize(started(own), "mix-placed"), started(of_source(whole))
 
+def draw(plan: DataFrame, seed: int = 1) -> DataFrame:
+    """(shard, nr, n, first, before, size): how many of a shard's slots a source
+    is drawn for, the number of its first one among the source's slots and in the
+    shard, and the shard's slots.
 
-def dealt(plan: DataFrame, whole: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
-    """The mix itself, one row a slot: shard, slot, nr, source, block, words and
-    parts, array<struct<start, doc_id, words, text>>, the pieces of documents in
-    the block by their place in the source; their words are joined by spaces.
+    Slots are unrolled in two steps, chunks first, so that no task unrolls a
+    large source by itself; a shard's counts are summed before the shuffle.
+    """
+    total = f"{max(1, plan.agg(F.coalesce(F.sum('slots'), F.lit(0))).first()[0])}L"
+    chunks = plan.where("slots > 0").select("nr", "base", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk"))
+    chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nr", "chunk")
+    each = chunks.select("nr", "base", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
+    place = permuted("base + i", total, keys(total, f"{seed}L + 17"))
+    drawn = materialize(each.select("nr", F.expr(f"({place}) div {SHARD_SLOTS}").alias("shard")).groupBy("shard", "nr").agg(F.count("*").alias("n")), "draw")
+    in_shard = W.partitionBy("shard")
+    ranges = running(drawn, ["nr"], "shard", "n", "first").withColumn("size", F.sum("n").over(in_shard))
+    return materialize(ranges.withColumn("before", F.coalesce(F.sum("n").over(in_shard.orderBy("nr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "draw-ranges")
+
+
+def slots(plan: DataFrame, drawn: DataFrame, seed: int = 1) -> DataFrame:
+    """(shard, slot, nr, block): what stands where in the output. A source's slot
+    numbers run through all its blocks in one pass and through the rest in the
+    next, each pass in an order of its own; no row unrolls more than a shard."""
+    own = lambda turn: F.expr(keys("blocks", f"{seed}L + nr * 1009 + {turn}"))
+    ranges = drawn.join(plan.select("nr", "blocks"), "nr").select("*", own(0).alias("own"), own(1).alias("own_again"), F.expr(keys("size", f"{seed}L + 31")).alias("of_shard"))
+    each = ranges.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("j"))
+    block = permuted("(first + j) % blocks", "blocks", "if(first + j < blocks, own, own_again)")
+    return each.select("shard", F.expr(permuted("before + j", "size", "of_shard")).alias("slot"), "nr", F.expr(block).alias("block"))
+
+
+def dealt(plan: DataFrame, filled: DataFrame, whole: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
+    """The mix itself, one row a slot: shard, slot, nr, source, bucket, block,
+    words and parts, array<struct<start, doc_id, words, text>>, the pieces of
+    documents in the block by their place in the bucket; their words are joined
+    by spaces.
+
+    Texts are shuffled once: a bucket's documents and the slots that want its
+    blocks come together, and all that follows keeps that partitioning.
     """
-    cut = F.expr(f"""explode(transform(array(regexp_extract_all(text, '{WORD}', 0)), w -> transform(
-        sequence(start div {block_words}, (start + size - 1) div {block_words}),
-        b -> named_struct('block', b, 'words', least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words}),
-            'text', array_join(slice(w, int(greatest(0L, b * {block_words} - start)) + 1, int(least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words}))), ' '))))[0])""".replace("\\", "\\\\"))
-    pieces = whole.where("size > 0").select("nr", "source", "start", "doc_id", cut.alias("p"))
-    pieces = pieces.select("nr", "source", F.col("p.block").alias("block"), F.struct("start", "doc_id", "p.words", "p.text").alias("part"))
-    blocks = pieces.groupBy("nr", "block").agg(F.first("source").alias("source"), F.sum("part.words").alias("words"), F.sort_array(F.collect_list("part")).alias("parts"))
+    index = filled.where("n > 0").select("nr", "bucket", "first", F.explode(F.expr("sequence(first, first + n - 1)")).alias("block"))
     # Both sides follow the input, which the planner's estimates don't see past
     # explode(); the hint keeps it from broadcasting them.
-    return materialize(blocks.join(slots(plan, seed).hint("merge"), ["nr", "block"]).select("shard", "slot", "nr", "source", "block", "words", "parts"), "mix", "zstd")  # repeats of a block stand together
+    wanted = slots(plan, draw(plan, seed), seed).join(index.hint("merge"), ["nr", "block"])
+    wanted = wanted.select("nr", "bucket", (F.col("block") - F.col("first")).alias("at"), F.struct("shard", "slot", "block").alias("place"))
+    docs = whole.where("size > 0").select("nr", "bucket", "source", "doc_id", "size", "text_key", "text")
+    both = docs.unionByName(wanted, allowMissingColumns=True)
+    order = W.partitionBy("nr", "bucket").orderBy(F.col("place").isNotNull(), "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumn("start", F.sum("size").over(order) - F.col("size"))
+    cut = F.expr(f"""explode(if(place is not null, array(named_struct('at', at, 'part', cast(null as struct<start:bigint,doc_id:bigint,words:bigint,text:string>))),
+        transform(array(regexp_extract_all(text, '{WORD}', 0)), w -> transform(
+            sequence(start div {block_words}, (start + size - 1) div {block_words}),
+            b -> named_struct('at', b, 'part', named_struct('start', start, 'doc_id', doc_id, 'words', least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words}),
+                'text', array_join(slice(w, int(greatest(0L, b * {block_words} - start)) + 1, int(least(start + size, (b + 1) * {block_words}) - greatest(start, b * {block_words}))), ' ')))))[0]))""".replace("\\", "\\\\"))
+    met = both.select("nr", "bucket", "source", "place", cut.alias("p")).groupBy("nr", "bucket", "p.at").agg(
+        F.first("source", ignorenulls=True).alias("source"), F.sum("p.part.words").alias("words"), F.sort_array(F.collect_list("p.part")).alias("parts"), F.collect_list("place").alias("places"),
+    )
+    rows = met.select("nr", "source", "bucket", "words", "parts", F.explode("places").alias("place"))
+    return materialize(rows.select("place.shard", "place.slot", "nr", "source", "bucket", "place.block", "words", "parts"), "mix", "zstd")  # repeats of a block stand together
 
 
 def blocks(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
-    """The mix of ``sizes`` (doc_id, source, size, text) as ``dealt`` gives it."""
-    plan, _, whole = packed(sizes, block_words, seed)
-    return dealt(plan, whole, block_words, seed)
-
-
-def mix(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
-    """The columns of ``sizes`` (doc_id, source, size, ...) but its text, with
-    source_size, target and taken: how many of each document's words the mix
-    holds, summed from the written mix.
+    """The mix of ``sizes`` (doc_id, source, text, size) as ``dealt`` gives it.
 
-    ``taken`` counts repeats; a source's sum is within a block of its target and
-    no document exceeds twice its size, as each pass takes a block once at most
-    and targets end two passes. Rows without words take 0; a null source is a
-    source; repeated rows each take their own part; an empty table gives none.
+    Rows without words are in no block; a null source is a source; repeated rows
+    each take part; a very long text is cut over many blocks by the task of its
+    bucket; other columns are ignored; an empty table gives an empty mix.
     """
-    kept = [c for c in sizes.columns if c not in ("source", "text")]
-    plan, placed, whole = packed(sizes, block_words, seed)
-    parts = dealt(plan, whole, block_words, seed).select("nr", F.explode("parts").alias("p"))
-    taken = parts.groupBy(F.col("nr").alias("t_nr"), F.col("p.start").alias("t_start")).agg(F.sum("p.words").alias("taken"))
-    found = placed.join(taken.hint("merge"), (F.col("nr") == F.col("t_nr")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
-    return found.select(*kept, "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
+    plan, filled, _, whole = packed(sizes.select("doc_id", "source", "text", "size"), block_words, seed)
+    return dealt(plan, filled, whole, block_words, seed)
 
-def slots(plan: DataFrame, seed: int = 1) -> DataFrame:
-    """(shard, slot, nr, block): what stands where in the output.
 
-    Slot numbers of a source are unrolled in two steps, chunks first, so that no
-    task unrolls a large source by itself.
+def mix(sizes: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
+    """The columns of ``sizes`` (doc_id, source, size, ...) but its text, with
+    source_size, target, taken (how many of the row's words the mix holds) and
+    first_shard (the first output shard that holds any, null if none does), both
+    read off the written mix.
+
+    ``taken`` counts repeats; a source's sum is near its target (a bucket's last
+    block may be short) and no document exceeds twice its size, as each pass
+    takes a block once at most and targets end two passes. Rows without words
+    take 0; a null source is a source; repeated rows each take their own part;
+    an empty table gives none. Columns named as the added ones are replaced.
     """
-    total = f"{max(1, plan.agg(F.coalesce(F.sum('slots'), F.lit(0))).first()[0])}L"
-    spark = plan.sparkSession
-    turns = plan.where("slots > 0").select("nr", "blocks", "base", "slots", F.explode(F.expr("sequence(0L, (slots - 1) div blocks)")).alias("pass"))
-    turns = turns.select("nr", "blocks", F.expr("base + pass * blocks").alias("base"), F.expr("least(blocks, slots - pass * blocks)").alias("n"), F.expr(keys("blocks", f"{seed}L + nr * 1009 + pass")).alias("own"))
-    chunks = turns.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {SLOT_CHUNK})")).alias("chunk"))
-    chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "nr", "base", "chunk")
-    each = chunks.select("nr", "blocks", "base", "own", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(n, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
-    place = permuted("base + i", total, keys(total, f"{seed}L + 17"))
-    return each.select("nr", F.expr(permuted("i", "blocks", "own")).alias("block"), F.expr(place).alias("place")).select(F.expr(f"place div {SHARD_SLOTS}").alias("shard"), F.expr(f"place % {SHARD_SLOTS}").alias("slot"), "nr", "block")
+    added = ("source_size", "target", "taken", "first_shard")
+    more = [c for c in sizes.columns if c not in ("doc_id", "source", "text", "size", *added)]
+    own_row = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in more)).alias("more")
+    plan, filled, own, whole = packed(sizes.select("doc_id", "source", "text", "size", own_row), block_words, seed)
+    inside = W.partitionBy("nr", "bucket").orderBy("doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = own.withColumn("start", F.sum("size").over(inside) - F.col("size"))
+    parts = dealt(plan, filled, whole, block_words, seed).select("nr", "bucket", "shard", F.explode("parts").alias("p"))
+    taken = parts.groupBy(F.col("nr").alias("t_nr"), F.col("bucket").alias("t_bucket"), F.col("p.start").alias("t_start")).agg(F.sum("p.words").alias("taken"), F.min("shard").alias("first_shard"))
+    same = (F.col("nr") == F.col("t_nr")) & (F.col("bucket") == F.col("t_bucket")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0)
+    found = placed.join(taken.hint("merge"), same, "left")
+    return found.select("doc_id", "source", "size", *(F.col("more")[c].alias(c) for c in more), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The drawn multinomial counts of a mix: (shard, nr, n)."""
-    return slots.groupBy("shard", "nr").agg(F.count("*").alias("n"))
+def shard_counts(mix: DataFrame) -> DataFrame:
+    """The source counts of a written mix: (shard, nr, n)."""
+    return mix.groupBy("shard", "nr").agg(F.count("*").alias("n"))

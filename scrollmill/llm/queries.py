@@ -31,8 +31,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = mixing.sized(table(spark, sf_dir, "documents"), F.col("text"))
-    return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +134,18 @@ def _duck_keys(n: str, seed: str) -> str:
     return f"list_transform(range(0, {mixing.ROUNDS}), lambda r: ({mixing.mixed('r + 101', '7', seed)} * {mixing.PRIME} + {mixing.mixed('r + 211', '3', seed)}) % ({n}))"
 
 
+def _duck_permuted(x: str, n: str, own: str) -> str:
+    step = mixing.rounds(n).replace("if(", "case when ", 1).replace("= 1, ", "= 1 then ").replace(", y)", " else y end")
+    return f"list_reduce({own}, lambda y, k: {step}, cast({x} as bigint))"
+
+
 def mixing_sql(docs: str = "documents", extra: str = "", block_words: int = 128, seed: int = 1) -> str:
     """DuckDB SQL for mixing.mix over ``docs``; ``extra`` names more columns."""
-    bucket = f"({mixing.mixed('abs(coalesce(doc_id, -1))', '1', str(seed))} % (select greatest({mixing.LEAST_BUCKETS}, (count(*) + {mixing.BUCKET_ROWS - 1}) // {mixing.BUCKET_ROWS}) from sized))"
+    P, per_bucket = mixing.PRIME, block_words * mixing.BUCKET_BLOCKS
+    bucket = f"({mixing.mixed(f'((coalesce(doc_id, -1) % {P} + {P}) % {P} + mark)', '1', str(seed))} % buckets)"
     return _duck(rf"""
-with sized as (select doc_id, source{extra}, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from {docs}),
+with sized as (
+    select doc_id, source{extra}, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, cast('0x' || substr(md5(coalesce(text, '')), 1, 7) as bigint) as mark from {docs}),
 per as (
     select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as nr,
         [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 as int) + 1] as weight
@@ -147,22 +153,30 @@ per as (
 lv as (
     select (sum(source_size) over () * 1.5::double - coalesce(sum(source_size) over b, 0) * 2) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
     from per window b as (order by source_size::double / weight, nr rows between unbounded preceding and 1 preceding)),
-tg as (select *, least(source_size * 2.0::double, weight * (select max(level) from lv)::double) as target, (source_size + {block_words - 1}) // {block_words} as blocks from per),
-pl as (select *, case when source_size = 0 then 0 else cast(floor(target * blocks / source_size + 0.5) as bigint) end as slots from tg),
+tg as (select *, least(source_size * 2.0::double, weight * (select max(level) from lv)::double) as target, greatest(1, (source_size + {per_bucket - 1}) // {per_bucket}) as buckets from per),
+own as (select s.*, p.nr, p.source_size, p.target, {bucket} as bucket from sized s join tg p on s.source is not distinct from p.source),
+placed as (select *, row_number() over () as k, cast(sum(size) over (partition by nr, bucket order by doc_id nulls first, size rows unbounded preceding) - size as bigint) as start from own),
+fl as (select nr, bucket, cast((sum(size) + {block_words - 1}) // {block_words} as bigint) as n from own group by all),
+filled as (select *, cast(sum(n) over (partition by nr order by bucket) - n as bigint) as first from fl),
+pl as (select tg.*, b.blocks, case when source_size = 0 then 0 else cast(floor(target * b.blocks / source_size + 0.5) as bigint) end as slots from tg join (select nr, cast(sum(n) as bigint) as blocks from filled group by 1) b on tg.nr = b.nr),
 plan as (select *, cast(sum(slots) over (order by nr) - slots as bigint) as base from pl),
-own as (select s.*, p.nr, p.source_size, p.target, {bucket} as bucket from sized s join plan p on s.source is not distinct from p.source),
-placed as (select *, row_number() over () as k, cast(sum(size) over (partition by nr order by bucket, doc_id, size rows unbounded preceding) - size as bigint) as start from own),
-passes as (select nr, blocks, slots, unnest(range(0, (slots - 1) // blocks + 1)) as pass from plan where slots > 0),
-own_keys as (select nr, blocks, least(blocks, slots - pass * blocks) as n, {_duck_keys('blocks', f'{seed} + nr * 1009 + pass')} as own from passes),
-each as (select nr, blocks, own, unnest(range(0, n)) as i from own_keys),
-drawn as (
-    select nr, block, count(*) as times
-    from (select nr, list_reduce(own, lambda y, k: {mixing.rounds('blocks').replace('if(', 'case when ', 1).replace('= 1, ', '= 1 then ').replace(', y)', ' else y end')}, cast(i as bigint)) as block from each) group by all),
-pieces as (select k, nr, start, size, unnest(generate_series(start // {block_words}, (start + size - 1) // {block_words})) as block from placed where size > 0),
+tot as (select cast(greatest(1, sum(slots)) as bigint) as total from plan),
+tokens as (select nr, base, total, unnest(range(0, slots)) as i from plan, tot where slots > 0),
+all_keys as (select {_duck_keys('total', f'{seed} + 17')} as every from tot),
+drawn as (select {_duck_permuted('base + i', 'total', 'every')} // {mixing.SHARD_SLOTS} as shard, nr, count(*) as n from tokens, all_keys group by 1, 2),
+ranges as (select *, cast(sum(n) over (partition by nr order by shard) - n as bigint) as first from drawn),
+numbered as (select shard, nr, unnest(range(first, first + n)) as j from ranges),
+own_keys as (select nr, blocks, pass, {_duck_keys('blocks', f'{seed} + nr * 1009 + pass')} as own from plan, (select unnest([0, 1]) as pass) where slots > 0),
+chosen as (
+    select shard, x.nr, {_duck_permuted('j % blocks', 'blocks', 'own')} as block
+    from numbered x join own_keys o on x.nr = o.nr and o.pass = x.j // o.blocks),
+indexed as (select nr, bucket, first, unnest(range(first, first + n)) as block from filled where n > 0),
+wanted as (select c.shard, c.nr, i.bucket, c.block - i.first as block from chosen c join indexed i on c.nr = i.nr and c.block = i.block),
+pieces as (select k, nr, bucket, start, size, unnest(generate_series(start // {block_words}, (start + size - 1) // {block_words})) as block from placed where size > 0),
 got as (
-    select k, cast(sum((least(start + size, (pieces.block + 1) * {block_words}) - greatest(start, pieces.block * {block_words})) * times) as bigint) as taken
-    from pieces join drawn on pieces.nr = drawn.nr and pieces.block = drawn.block group by k)
-select doc_id{extra}, size, source_size, target, coalesce(taken, 0) as taken from placed left join got on placed.k = got.k
+    select k, cast(sum(least(start + size, (p.block + 1) * {block_words}) - greatest(start, p.block * {block_words})) as bigint) as taken, min(shard) as first_shard
+    from pieces p join wanted w on p.nr = w.nr and p.bucket = w.bucket and p.block = w.block group by k)
+select doc_id{extra}, size, source_size, target, coalesce(taken, 0) as taken, first_shard from placed left join got on placed.k = got.k
 """)
 
 
