@@ -54,61 +54,80 @@ def bit_majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each whole text as a signed long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, fp): the 64-bit SimHash of each whole text as a signed long;
+    ``more`` names columns of type long."""
 
     def run(batches):
         for piece in pieces(batches):
             each = [shingle_hashes(t or "") for t in piece.column("text").to_pylist()]
             fp = bit_majority(np.concatenate(each), np.array([len(x) for x in each]))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", *more]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
-def fingerprint_links(classes: DataFrame) -> DataFrame:
-    """(u, v) for all pairs of distinct ``fp`` with at most four different bits."""
+def fingerprint_links(classes: DataFrame, chain: int | None = None) -> DataFrame:
+    """(u, v) for all pairs of distinct ``fp`` with at most four different bits.
+
+    ``chain`` segments make the join key: two of them (26 bits) by default, three
+    (39 bits, where both sides list variants of one bit) from 2**26 fingerprints
+    on, when chance matches of the short key would outnumber its rows.
+    """
+    chain = chain or (2 if classes.count() < 1 << 26 else 3)
     segment = lambda i: f"(shiftrightunsigned(fp, {BITS} * ({i})) & {(1 << BITS) - 1})"  # noqa: E731  the last has 12 bits left
     ring = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i"))
-    key = f"shiftleft(cast(i as long), {2 * BITS}) | shiftleft({segment('i')}, {BITS}) | {segment(f'(i + 1) % {SEGMENTS}')}"
-    index = ring.select(F.col("fp").alias("u"), "i", F.expr(key).alias("key"))
-    flips = F.expr(f"explode(concat(array(0L), transform(sequence(0, if(i = {SEGMENTS - 2}, {BITS - 2}, {BITS - 1})), j -> shiftleft(1L, j))))")
-    probe = ring.select("fp", "i", flips.alias("flip")).select(F.col("fp").alias("v"), F.expr(f"({key}) ^ flip").alias("key"))
+    key = " | ".join([f"shiftleft(cast(i as long), {chain * BITS})", *(f"shiftleft({segment(f'(i + {k}) % {SEGMENTS}')}, {(chain - 1 - k) * BITS})" for k in range(chain))])
+    flips = F.expr(f"explode(concat(array(0L), transform(sequence(0, {(chain - 1) * BITS - 1}), j -> shiftleft(1L, j))))")
+    varied = lambda name: ring.select("fp", "i", flips.alias("flip")).select(F.col("fp").alias(name), "i", F.expr(f"({key}) ^ flip").alias("key"))
+    index = varied("u") if chain > 2 else ring.select(F.col("fp").alias("u"), "i", F.expr(key).alias("key"))
+    probe = varied("v").drop("i")
     turned = f"(shiftrightunsigned(u ^ v, {BITS} * i) | shiftleft(u ^ v, 64 - {BITS} * i))"  # the chain's segments first
 
-    def chain(length):
+    def within(length):
         width = f"{BITS} * {length} - if(i + {length} > {SEGMENTS - 1}, 1, 0)"
         return f"bit_count({turned} & (shiftleft(1L, {width}) - 1)) <= {RADIUS * length // SEGMENTS}"
 
-    met = F.expr(f"u < v and {chain(3)} and {chain(4)} and bit_count(u ^ v) <= {RADIUS}")
+    met = F.expr(f"u < v and {within(3)} and {within(4)} and bit_count(u ^ v) <= {RADIUS}")
     # The planner doesn't see that explode() multiplies rows: never broadcast here.
     return index.join(probe.hint("merge"), "key").where(met).select("u", "v").distinct()
 
 
+def roots(classes: DataFrame) -> DataFrame:
+    """``classes`` (fp, ...) with the root of each fingerprint's component."""
+    found = components(fingerprint_links(classes)).select(F.col("node").alias("fp"), "root")
+    return materialize(classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach. A null text counts as
     empty; texts without words have fingerprint 0 and link like any other. Rows
     without a doc_id link but never name a component (null if nothing else
-    does). Repeated rows share a component; other columns are ignored.
+    does). Repeated rows share a component; a very long text is hashed by its
+    task alone; other columns are ignored; an empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(fingerprint_links(classes))
-    linked = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = materialize(linked, "linked")
+    linked = roots(materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes"))
     least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = materialize(linked.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, each id once.
+    """One row of ``docs`` for each component: that of smallest doc_id, among
+    rows that share it the one whose text has the smallest hash.
 
-    A row without an id stays only if no row with an id shares its component.
+    A row without an id stays only if no row of its component has one; repeated
+    rows stay once; rows of one id with unlike texts are judged by themselves. All
+    columns stay; null texts count as empty; an empty table gives itself.
     """
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    # Two columns without nulls name a row: they join, and later tell repeats.
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__key", F.xxhash64("text", F.col("doc_id").isNull()))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
+    rows = materialize(fingerprints(named, "__id", "__key"), "fingerprints")
+    linked = roots(materialize(rows.groupBy("fp").agg(F.min(best).alias("best")), "classes"))
+    kept = materialize(linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key")), "kept")
+    return named.join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
