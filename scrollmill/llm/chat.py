@@ -37,7 +37,9 @@ def threads(turns: DataFrame) -> DataFrame:
 
     Every row replies to the one before it by (turn, role, text), nulls first;
     repeated rows stay. Null roles and texts are empty; a null conv_id is a
-    conversation of its own.
+    conversation of its own; other columns are ignored; an empty table has no
+    conversations. A conversation is the unit of the output, so its turns meet in
+    one task, however long their texts.
     """
     clean = turns.select(F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.row_number().over(W.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")
@@ -57,18 +59,17 @@ def paths(nodes: DataFrame) -> DataFrame:
     parents = up.select(F.col("tree").alias("t"), F.col("to").alias("n")).distinct()
     same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
     leaves = ids.select("tree", "node").distinct().join(parents, same, "left_anti")
-    parts = [materialize(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")]
+    whole = materialize(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")
     most = ids.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    roots = ids.select("tree", "node").distinct().join(up.select(F.col("tree").alias("t"), F.col("node").alias("n")), same, "left_anti")
+    roots = materialize(ids.select("tree", "node").distinct().join(up.select(F.col("tree").alias("t"), F.col("node").alias("n")), same, "left_anti"), "roots")
     step = 1
     while step < most and not up.isEmpty():
         hop = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
-        so_far = reduce(DataFrame.unionByName, parts)
-        parts.append(materialize(so_far.join(hop, same).select("tree", "leaf", F.col("to").alias("node"), (F.col("back") + step).alias("back")), "paths"))
+        # One table a round: its ways reach twice as far as those of the one before.
+        whole = materialize(whole.unionByName(whole.join(hop, same).select("tree", "leaf", F.col("to").alias("node"), (F.col("back") + step).alias("back"))), "paths")
         far = up.select(F.col("tree"), F.col("node").alias("start"), F.col("to").alias("node")).join(hop, same)
         up = materialize(far.select("tree", F.col("start").alias("node"), "to"), "pointers")
         step *= 2
-    whole = reduce(DataFrame.unionByName, parts)
     ended = whole.join(roots.select(F.col("tree").alias("t"), F.col("node").alias("n")), same, "left_semi").select(F.col("tree").alias("t"), F.col("leaf").alias("l")).distinct()
     return whole.join(ended, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")), "left_semi")
 
@@ -80,7 +81,9 @@ def format_paths(nodes: DataFrame, paths_per_tree: int = 1) -> DataFrame:
     Of each tree the ``paths_per_tree`` paths of highest mean score are chosen
     (nulls count 0), ties by the smaller leaf. ``loss_spans`` are code point
     ranges of the assistant's texts in ``formatted``. What meets in one task is
-    one conversation, the unit of the output.
+    one conversation, the unit of the output. Null texts count as empty only if
+    the caller made them so (``threads`` does); other columns are ignored; an
+    empty table gives an empty result.
     """
     nodes = materialize(nodes, "turns")
     way = materialize(paths(nodes), "ways")
