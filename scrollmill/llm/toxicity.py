@@ -115,13 +115,14 @@ def feature_rows(data: np.ndarray, at: np.ndarray, lexicon: np.ndarray, stems: n
     ], 1)
 
 
-def learn_lexicon(sample: DataFrame, size: int = 300, min_docs: int = 5, least_rate: float = 0.004) -> tuple[list[str], list[str]]:
+def learn_lexicon(sample: DataFrame, min_docs: int = 5, least_rate: float = 0.004) -> tuple[list[str], list[str]]:
     """Words and stems significantly more often frequent in toxic texts.
 
     A text counts for a word or stem if that makes up ``least_rate`` of its
     words. Score: log-odds with add-half smoothing over their standard error, at
-    least 4, and three of five such texts toxic; the ``size`` strongest of each kind. ``sample`` is bounded, and so
-    is what is collected.
+    least 4, and three of five such texts toxic. ``sample`` is bounded, and so is
+    what is collected: a word needs ``min_docs`` of its texts, and a text holds at
+    most 1 / ``least_rate`` such words.
     """
     letters = re.compile(r"[a-z\x80-\U0010ffff]+")
 
@@ -131,7 +132,7 @@ def learn_lexicon(sample: DataFrame, size: int = 300, min_docs: int = 5, least_r
                 n = Counter(letters.findall(t.translate(_LOWER)))
                 least, found = least_rate * n.total(), Counter()
                 for w, c in n.items():
-                    if 2 < len(w) < 40:
+                    if len(w) > 2:
                         found[w, False] += c
                         for k in STEMS:
                             if k <= len(w):
@@ -147,7 +148,7 @@ def learn_lexicon(sample: DataFrame, size: int = 300, min_docs: int = 5, least_r
     odds = F.log((a + 0.5) / (n["toxic"] - a + 0.5)) - F.log((b + 0.5) / (n["all"] - n["toxic"] - b + 0.5))
     error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     scored = counted.where((a >= min_docs) & (a >= 1.5 * b)).select("word", "stem", (odds / error).alias("z")).where("z >= 4")
-    return tuple([r.word for r in scored.where(kind).orderBy(F.desc("z"), "word").limit(size).collect()] for kind in (~F.col("stem"), F.col("stem")))
+    return tuple([r.word for r in scored.where(kind).orderBy("word").collect()] for kind in (~F.col("stem"), F.col("stem")))
 
 
 def with_features(df: DataFrame, lexicon: list[str], stems: list[str]) -> DataFrame:
@@ -167,24 +168,27 @@ def with_features(df: DataFrame, lexicon: list[str], stems: list[str]) -> DataFr
 def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_000, trees: int = 15, depth: int = 3) -> DataFrame:
     """All columns of ``docs`` plus ``toxicity``, a calibrated probability.
 
-    Trees learn from three quarters of a bounded sample of ``max_train_rows``
-    labelled rows, the isotonic calibration from the rest; held-out rows (crc32
-    of the id mod 5 is 0) take no part. Null and empty texts have zero features
-    and the score that follows. Without labels of both kinds every row scores
-    the share of toxic labels (0 if there are none).
+    Lexicon and trees learn from three quarters of a bounded sample of
+    ``max_train_rows`` labelled rows, the isotonic calibration from the rest,
+    which neither has seen; held-out rows (crc32 of the id mod 5 is 0) take no
+    part. Null and empty texts have zero features and the score that follows;
+    repeated rows score alike; a very long text is one piece of its task. Without
+    labels of both kinds every row scores the share of toxic labels (0 if there
+    are none). A column ``toxicity`` of the caller's is replaced, any other name
+    may occur; an empty table gives an empty result.
     """
     docs = docs.drop("toxicity")
     sample = materialize(labelled_sample(docs, labels, "toxic", max_train_rows), "toxic-sample")
-    learned, stems = learn_lexicon(sample)
-    lexicon = sorted({*INSULTS, *learned})
-    assembler = VectorAssembler(inputCols=_COLUMNS, outputCol="__tox_x")
-    train = materialize(with_features(sample, lexicon, stems).drop("text").coalesce(4), "toxic-train")
     calibration = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    kinds = {(r.c, r.label): r["count"] for r in train.groupBy(calibration.alias("c"), "label").count().collect()}
+    kinds = {(r.c, r.label): r["count"] for r in sample.groupBy(calibration.alias("c"), "label").count().collect()}
     if any(not kinds.get((False, y)) for y in (0.0, 1.0)):
         total = sum(kinds.values())
         share = sum(n for (_, y), n in kinds.items() if y == 1) / total if total else 0.0
         return docs.withColumn("toxicity", F.lit(float(share)))
+    learned, stems = learn_lexicon(sample.where(~calibration))
+    lexicon = sorted({*INSULTS, *learned})
+    assembler = VectorAssembler(inputCols=_COLUMNS, outputCol="__tox_x")
+    train = materialize(with_features(sample, lexicon, stems).drop("text").coalesce(4), "toxic-train")
     fit = assembler.transform(train)
     boosted = GBTClassifier(featuresCol="__tox_x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=7).fit(fit.where(~calibration))
     margin = vector_to_array("probability")[1]
@@ -193,6 +197,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_000, tree
     held = boosted.transform(fit.where(calibration) if enough else fit).select("label", margin.alias("__tox_m"))
     isotonic = IsotonicRegression(featuresCol="__tox_m", labelCol="label", predictionCol="toxicity").fit(held.coalesce(1))
     # The row rides along as one struct: no column of it can clash with a model's.
-    rows = with_features(docs, lexicon, stems).select(F.struct(*docs.columns).alias("__tox_row"), *_COLUMNS)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__tox_row"), "text")
+    rows = with_features(whole, lexicon, stems).drop("text")
     scored = isotonic.transform(boosted.transform(assembler.transform(rows)).select("__tox_row", margin.alias("__tox_m")))
     return scored.select("__tox_row.*", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "toxicity")).alias("toxicity"))
