@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded from dense features,
-gated attention says how much each passage weighs, and the weighted sum is
+A document is a bag of passages. Each passage is encoded from dense features of
+its characters and from hashed counts of its words and word pairs; gated attention says how much each passage weighs, and the weighted sum is
 scored. Only document labels are needed: the weights learn where quality shows.
 """
 
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import labelled_sample
-from .textarrays import LOWERED, SPACE, column, pieces, range_hashes, sums, words
+from .textarrays import LOWERED, SPACE, column, mix, pieces, range_hashes, sums, words
 
-PASSAGE_WORDS, HIDDEN, GATE = 64, 16, 8
+PASSAGE_WORDS, HIDDEN, GATE, HASHED = 64, 16, 8, 32
 
 
 def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +59,13 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mean / 10, np.sqrt(np.maximum(sums(length.astype(float) ** 2, word_at) / size - mean**2, 0)) / 10,
         distinct / size, sums(same, word_at) / size, sums(marked, word_at) / size, np.log1p(np.diff(word_at)) / 4,
     ], 1)
-    return x, begin
+    # Words and pairs of words by hash: what the passage says, not only its shape.
+    follows = np.zeros(len(h), bool)
+    follows[1:] = passage_of[1:] == passage_of[:-1]
+    pairs = mix(h[1:] * np.uint64(0x100000001B3) + h[:-1])[follows[1:]]
+    shift = np.uint64(64 - HASHED.bit_length() + 1)
+    counted = [np.bincount(of * HASHED + (k >> shift).astype(np.int64), minlength=begin[-1] * HASHED).reshape(-1, HASHED) for of, k in ((passage_of, h), (passage_of[1:][follows[1:]], pairs))]
+    return np.hstack([x, *(np.sqrt(c / size[:, None]) for c in counted)]), begin
 
 
 class AttentionModel:
@@ -133,15 +139,20 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 5_000) -> Da
     """All columns of ``docs`` plus ``quality``: the probability of label 1.
 
     Held-out rows (crc32 of the id mod 5 is 0) are never learned from. Null and
-    empty texts are one passage without features. Without labels the untrained
-    model's scores are near one half. Work is one pass in pieces, no shuffle.
+    empty texts are one passage without features; repeated rows score alike; a
+    very long text is one piece of its task. Without labels the untrained model's
+    scores are near one half. A column ``quality`` of the caller's is replaced,
+    any other name may occur; an empty table gives an empty result. Work is one
+    pass in pieces, no shuffle.
     """
     docs = docs.drop("quality")
-    model, names = train(docs, labels, max_train_rows), docs.columns
+    model = train(docs, labels, max_train_rows)
+    # The row rides along as one struct, whatever its columns are called.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
     def run(batches):
         for piece in pieces(batches):
             y = model.scores(*passages(*column(piece.column("text"))))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(y)], [*names, "quality"])
+            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(y)], ["row", "quality"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("quality", T.DoubleType())])).select("row.*", "quality")
