@@ -17,6 +17,8 @@ from .common import ascii_lower, materialize
 
 WINDOW, GRAM = 13, 7
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Counts the words of a text that is not yet in lower case.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -24,13 +26,19 @@ def words(text: Column) -> Column:
 
 
 def _grams(size: int) -> str:
-    """SQL for the hashes of all runs of ``size`` words, in order."""
-    return f"if(size(words) < {size}, cast(array() as array<bigint>), transform(sequence(1, size(words) - {size - 1}), i -> xxhash64({size}, slice(words, i, {size}))))"
+    """SQL for the hashes of all runs of ``size`` words, in order, from theirs."""
+    run = ", ".join(f"hashes[i + {k}]" for k in range(size))
+    return f"if(size(hashes) < {size}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {size}), i -> xxhash64({size}, {run})))"
 
 
 def _winnowed() -> str:
     keep = WINDOW - GRAM + 1
-    return f"if(size(grams) < {keep}, cast(array() as array<bigint>), array_distinct(transform(sequence(1, size(grams) - {keep - 1}), i -> array_min(slice(grams, i, {keep})))))"
+    window = ", ".join(f"grams[i + {k}]" for k in range(keep))
+    return f"if(size(grams) < {keep}, cast(array() as array<bigint>), array_distinct(transform(sequence(0, size(grams) - {keep}), i -> least({window}))))"
+
+
+def _hashed(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
 def _windows(length: str) -> str:
@@ -48,18 +56,23 @@ def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1_000_000) ->
     bench = materialize(bench.withColumn("length", F.least(F.lit(WINDOW), F.size("words"))).withColumn("item", F.xxhash64("item_id", "words")), "bench").dropDuplicates(["item"])
     bench = materialize(bench, "bench")
     short = [r.length for r in bench.where(F.col("length") < WINDOW).select("length").distinct().collect()]  # at most 12
-    keys = bench.select("item", F.expr(f"case when length = {WINDOW} then {_grams(GRAM)} else array(xxhash64(length, words)) end").alias("keys"))
+    own_length = " ".join(f"when length = {n} then {_grams(n)}" for n in sorted(short))
+    keys = bench.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).select("item", F.expr(f"case {own_length} when length = {WINDOW} then {_grams(GRAM)} end").alias("keys"))
     keys = materialize(keys.select("item", F.explode(F.array_distinct("keys")).alias("key")), "bench-keys")
 
-    named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    prints = named.select("doc_id", "text_key", words(F.col("text")).alias("words")).withColumn("grams", F.expr(_grams(GRAM)))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    prints = named.select("doc_id", "text_key", _hashed(F.col("text")).alias("hashes")).withColumn("grams", F.expr(_grams(GRAM)))
     wanted = ", ".join([_winnowed(), *(f"array_distinct({_grams(n)})" for n in sorted(short))])
     prints = prints.select("doc_id", "text_key", F.explode(F.expr(f"flatten(array({wanted}))")).alias("key"))
     side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys.hint("merge")
     candidates = materialize(prints.join(side, "key").select("doc_id", "text_key", "item").distinct(), "candidates")
 
+    # Repeats of a row have one result: their text is looked at once.
+    wanted_rows = candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))
+    whole = named.join(wanted_rows, same, "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     at = candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "item")
-    met = named.join(at, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).select("doc_id", "text_key", "item", words(F.col("text")).alias("words"))
+    met = whole.join(at, same).select("doc_id", "text_key", "item", words(F.col("text")).alias("words"))
     bench_windows = bench.select("item", "item_id", "length", F.expr(_windows("length")).alias("windows"))
     found = F.expr("filter(sequence(1, size(words) - length + 1), i -> array_contains(windows, array_join(slice(words, i, length), ' ')))")
     return met.join(bench_windows, "item").where("size(words) >= length").select("doc_id", "text_key", "item_id", found.alias("starts"), "length").where(F.size("starts") > 0)
@@ -72,7 +85,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     A word is hit if an occurring window covers it; a document is contaminated
     if its hits are a twentieth of its words or more. Null and empty texts have
     no words; items without words are no windows; items without an id hit but
-    are not listed; rows that repeat give the same result each.
+    are not listed; rows that repeat give the same result each; a very long text
+    is looked through by one task; other columns are ignored; an empty table of
+    documents gives an empty result, one of items no hits.
     """
     spans = F.expr("transform(starts, s -> named_struct('start', s, 'end', s + length))")
     # Overlaps count once: walk the spans by start, adding what lies past the end so far.
@@ -83,7 +98,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), covered.alias("n_hit"), "item_ids")
     )
     per = materialize(per, "hits")
-    counted = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(per, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
