@@ -56,15 +56,22 @@ def _confirmed(kind: str) -> str:
     # Mod 97: country and check digits moved to the end, letters as two digits.
     mod97 = f"aggregate(filter(split(concat(substr({plain}, 5), substr({plain}, 1, 4)), ''), c -> c <> ''), 0, (a, c) -> if(c between '0' and '9', (a * 10 + ascii(c) - 48) % 97, (a * 100 + ascii(c) - 55) % 97))"
     holds = holds.replace("digits", digits).replace("luhn", luhn).replace("mod97", mod97).replace("plain", plain).replace("v rlike", "s.v rlike")
-    placed = """aggregate(slice(arrays_zip(__pii_m, __pii_p), 1, size(__pii_m)), named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,v:string>>)),
-        (a, z) -> named_struct('pos', a.pos + length(z.__pii_p) + length(z.__pii_m), 'out', concat(a.out, array(named_struct('start', a.pos + length(z.__pii_p), 'v', z.__pii_m)))), a -> a.out)"""
-    if kind in RUNS:  # the pattern looks ahead, from a text with one character before it
-        placed = placed.replace("'pos', 0", "'pos', -1").replace("a.pos + length(z.__pii_p) + length(z.__pii_m)", "a.pos + length(z.__pii_p)")
+    # Each match's start: lengths are summed in runs of 256 and over the runs, as one
+    # sum over all would copy its list for every match.
+    step = "length(z.__pii_p)" if kind in RUNS else "length(z.__pii_p) + length(z.__pii_m)"
+    runs = f"""transform(sequence(0, (size(__pii_m) - 1) div 256), c -> aggregate(slice(arrays_zip(__pii_m, __pii_p), c * 256 + 1, least(256, size(__pii_m) - c * 256)),
+        named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,v:string>>)),
+        (a, z) -> named_struct('pos', a.pos + {step}, 'out', concat(a.out, array(named_struct('start', a.pos + length(z.__pii_p), 'v', z.__pii_m))))))"""
+    # The looking pattern of RUNS sees a text with one character before it.
+    bases = f"aggregate(r, named_struct('pos', {-1 if kind in RUNS else 0}, 'out', cast(array() as array<int>)), (a, z) -> named_struct('pos', a.pos + z.pos, 'out', concat(a.out, array(a.pos))), a -> a.out)"
+    placed = f"transform(array({runs}), r -> flatten(zip_with(r, {bases}, (z, b) -> transform(z.out, s -> named_struct('start', s.start + b, 'v', s.v)))))[0]"
+    if kind in RUNS:
         ends = "transform(sequence(14, greatest(14, length(s.v))), e -> named_struct('start', s.start, 'v', substr(s.v, 1, e), 'after', substr(s.v, e + 1, 1)))"
         placed = f"filter(transform({placed}, s -> try_element_at(filter({ends}, s -> not s.after rlike '[A-Za-z0-9]' and {holds}), -1)), s -> s is not null)"
         holds = "true"
     kept = f"filter({placed}, s -> {holds})" if holds != "true" else placed
-    before = f"lower(substring(__pii_text, greatest(1, s.start + 1 - {NEAR}), least(s.start, {NEAR})))"
+    # Four bytes a character: what stands before a span is found without a walk from the text's start.
+    before = f"lower(decode(substring(__pii_wide, 4 * greatest(0, s.start - {NEAR}) + 1, 4 * least(s.start, {NEAR})), 'UTF-32'))"
     rated = f"least(1.0D, {score}D + if({before} rlike '(?:{nearby})', {LIFT}D, 0.0D))"
     spans = f"transform({kept}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.start + length(s.v), 'value', s.v, 'score', {rated}))"
     if kind not in BASE:
@@ -78,9 +85,13 @@ def with_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFr
 
     Kinds outside BASE need a score of a half, which those of weak patterns
     reach only with a word nearby. Null and empty texts have no spans. No
-    shuffle: each row by itself. A column named ``spans`` is replaced.
+    shuffle: each row by itself, so repeated rows give the same and an empty
+    table gives itself; the work on a very long text grows with its length. A
+    column named ``spans`` is replaced, any other name may occur.
     """
-    found = docs.drop("spans").withColumn("__pii_text", F.coalesce("text", F.lit("")))
+    own = [c for c in docs.columns if c != "spans"]
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("__pii_row"), F.coalesce("text", F.lit("")).alias("__pii_text"))
+    found = found.withColumn("__pii_wide", F.expr("encode(__pii_text, 'UTF-32')"))
     none = "cast(array() as array<string>)"
     for kind in kinds:
         pattern, cheap = _quoted(KINDS[kind][0]), KINDS[kind][1]
@@ -96,7 +107,7 @@ def with_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFr
     rank = lambda x: f"array_position(array({ranks}), {x}.kind)"
     order = f"case when x.start < y.start then -1 when x.start > y.start then 1 else int(sign({rank('x')} - {rank('y')})) end"
     ordered = F.expr(f"array_sort({all_spans}, (x, y) -> {order})")
-    return found.withColumn("spans", ordered).drop("__pii_text", *(f"__pii_{k}" for k in kinds))
+    return found.select("__pii_row.*", ordered.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -106,10 +117,12 @@ def listed(spans: Column) -> Column:
 
 def masked(text: str = "text", spans: str = "spans") -> Column:
     """``text`` with every span replaced by its kind; overlaps become one mark."""
-    return F.expr(
-        f"""if(size({spans}) = 0, {text}, aggregate({spans}, named_struct('out', '', 'pos', 0),
-            (a, s) -> case when s.end <= a.pos then a
-                when s.start < a.pos then named_struct('out', a.out, 'pos', s.end)
-                else named_struct('out', concat(a.out, substring({text}, a.pos + 1, s.start - a.pos), '[', upper(s.kind), ']'), 'pos', s.end) end,
-            a -> concat(a.out, substring({text}, a.pos + 1))))"""
-    )
+    # The pieces to keep and their marks are listed first, then cut from the text
+    # at four bytes a character, so no piece costs a walk from its start.
+    listed = f"""aggregate({spans}, named_struct('pos', 0, 'out', cast(array() as array<struct<from:int,upto:int,mark:string>>)),
+        (a, s) -> case when s.end <= a.pos then a
+            when s.start < a.pos then named_struct('pos', s.end, 'out', a.out)
+            else named_struct('pos', s.end, 'out', concat(a.out, array(named_struct('from', a.pos, 'upto', s.start, 'mark', concat('[', upper(s.kind), ']'))))) end,
+        a -> concat(a.out, array(named_struct('from', a.pos, 'upto', length({text}), 'mark', ''))))"""
+    cut = "concat(decode(substring(wide, 4 * x.from + 1, 4 * (x.upto - x.from)), 'UTF-32'), x.mark)"
+    return F.expr(f"if(size({spans}) = 0, {text}, transform(array(encode({text}, 'UTF-32')), wide -> array_join(transform({listed}, x -> {cut}), ''))[0])")
