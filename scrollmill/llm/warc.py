@@ -56,10 +56,10 @@ def page_records(page_id, url, payload: bytes, digest: str, kind: str, refers_to
     safe = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     origin = name()
     shared = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", safe), ("X-Page-Id", page_id)]
-    whole = [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
+    whole = [("WARC-Payload-Digest", f"sha256:{digest}")]
     if kind == "revisit":
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [_record([("WARC-Type", kind), ("WARC-Record-ID", origin), *shared, *whole, profile, ("X-Refers-To-Page-Id", refers_to)], _HTTP)]
+        return [_record([("WARC-Type", kind), ("WARC-Record-ID", origin), *shared, *whole, profile, ("X-Refers-To-Page-Id", refers_to)], _HTTP)]  # no payload: it is the other record's
     block = chunked(payload)
     parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
     if len(parts) == 1:
@@ -129,8 +129,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per page in the archives: page_id, record_type, refers_to,
     payload_bytes, payload_digest and intact (lengths and digest verified).
 
-    A file is read whole by one task; ``write`` bounds its records. Only the
-    blocks of segmented records are shuffled, keyed by origin.
+    A revisit has the length and digest of the response that it refers to (same
+    page and digest, read from the archives); without one it is not intact and
+    they are null. So it is with a record whose segments lack a number or the
+    stated total, or whose payload has another digest; segments without their
+    first record are a row without a page. A file is read whole by
+    one task; ``write`` bounds its records. Only the blocks of segmented records
+    are shuffled, keyed by origin.
     """
     number = lambda x: None if x is None else int(x)
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -142,7 +147,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for f, block in records(gzip.decompress(content)):
                     kind, stated = f["WARC-Type"], f.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None
-                    size, digest, segment = number(f.get("X-Payload-Length")), stated, int(f.get("WARC-Segment-Number", 0))
+                    size, digest, segment = None, None, int(f.get("WARC-Segment-Number", 0))
                     if kind == "response" and not segment:
                         payload = dechunked(block)
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
@@ -160,31 +165,39 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         *(head(c) for c in ("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "stated_digest")), F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("segment", "block")))).alias("segments"),
     ).drop("origin")
-    out = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_())])
+    out = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("stated_digest", pa.string()), ("intact", pa.bool_())])
 
     def finish(batches):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                size, digest, intact = r["payload_bytes"], r["payload_digest"], True
-                if r["segments"]:
+                size, digest, intact = r["payload_bytes"], r["payload_digest"], r["record_type"] is not None
+                if r["record_type"] == "response" and r["segments"]:
                     block = b"".join(s["block"] for s in r["segments"])
                     intact = [s["segment"] for s in r["segments"]] == list(range(1, len(r["segments"]) + 1)) and len(block) == r["total"]
                     if intact:
                         payload = dechunked(block)
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                rows.append((r["page_id"], r["record_type"], r["refers_to"], size, digest, intact and digest == r["stated_digest"]))
+                rows.append((r["page_id"], r["record_type"], r["refers_to"], size, digest, r["stated_digest"], intact and digest == r["stated_digest"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
-    return whole.mapInArrow(finish, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean")
+    rows = materialize(whole.mapInArrow(finish, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, stated_digest string, intact boolean"), "warc-rows")
+    found = rows.where("record_type = 'response' and intact").select(F.col("page_id").alias("r_id"), F.col("stated_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes")).distinct()
+    met = rows.join(found, (F.col("record_type") == "revisit") & F.col("refers_to").eqNullSafe(F.col("r_id")) & (F.col("stated_digest") == F.col("r_digest")), "left")
+    seen = F.col("r_bytes").isNotNull()
+    return met.select(
+        "page_id", "record_type", "refers_to", F.coalesce("r_bytes", "payload_bytes").alias("payload_bytes"),
+        F.coalesce("r_digest", "payload_digest").alias("payload_digest"), F.when(F.col("record_type") == "revisit", seen).otherwise(F.col("intact")).alias("intact"),
+    )
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back.
 
-    Null html is an empty payload; repeated rows come back as often as they went
-    in; other columns are ignored; an empty table gives an empty result.
+    Null html is an empty payload; very long html becomes many segments; repeated
+    rows come back as often as they went in; other columns are ignored; an empty
+    table gives an empty result.
     """
     path = fresh_path(pages.sparkSession, "warc")
     write(pages, path)
