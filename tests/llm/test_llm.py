@@ -114,7 +114,7 @@ def test_mixing_meets_targets_and_permutes(spark):
 
 def test_mixing_writes_shards_and_blocks(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(200).unionByName(spark.createDataFrame([(-1, None)] * 2, "doc_id long, text string"), allowMissingColumns=True)
-    made = mixing.blocks(mixing.sized(d, F.col("text")))
+    made = mixing.blocks(mixing.sized(d))
     rows = made.collect()
     assert sorted(r.shard * mixing.SHARD_SLOTS + r.slot for r in rows) == list(range(len(rows)))
     texts = {}
@@ -141,7 +141,7 @@ def test_mixing_writes_shards_and_blocks(spark):
     assert complete
     drawn = {(r.shard, r.nr): r.n for r in mixing.shard_counts(made).collect()}
     assert drawn == Counter((r.shard, r.nr) for r in rows)
-    taken = {r.doc_id: r.taken for r in mixing.mix(mixing.sized(d, F.col("text"))).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect() if r.taken}
+    taken = {r.doc_id: r.taken for r in mixing.mix(mixing.sized(d)).groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect() if r.taken}
     want = Counter()
     for r in rows:
         for p in r.parts:
