@@ -41,7 +41,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, one row a slot of the output shards: shard, slot, source, block,
     its words, the documents they are of, and the text."""
-    mix = mixing.blocks(mixing.sized(docs, F.col("text")))
+    mix = mixing.blocks(mixing.sized(docs))
     each = lambda name: F.transform("parts", lambda p: p[name])
     return mix.select("shard", "slot", "source", "block", "words", each("doc_id").alias("doc_ids"), F.array_join(each("text"), "\n").alias("text"))
 
