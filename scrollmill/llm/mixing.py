@@ -50,6 +50,17 @@ def permuted(x: str, n: str, by: str) -> str:
     return f"aggregate({by}, {x}, (y, k) -> {rounds(n)})"
 
 
+def permute(df: DataFrame, x: str, n: str, by: str, name: str) -> DataFrame:
+    """``df`` with the column ``name``: ``permuted`` as a chain of projections,
+    which compiled code runs ten times as fast as a lambda over the keys."""
+    df = df.withColumn("__by", F.expr(by)).withColumn("__y", F.expr(x))
+    for k in (f"__by[{r}]" for r in range(ROUNDS)):
+        df = df.withColumn("__p", F.expr(f"({k} - __y + {n}) % {n}"))
+        df = df.withColumn("__o", F.expr(f"(greatest(__y, __p) % {PRIME} * 48271 + {k}) % {PRIME}"))
+        df = df.withColumn("__y", F.expr(f"if((__o * __o + {k}) % {PRIME} div 65536 % 2 = 1, __p, __y)"))
+    return df.withColumn(name, F.col("__y")).drop("__by", "__y", "__p", "__o")
+
+
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, source, text, size) and ``more`` for every row: size in words, null 0."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
@@ -88,8 +99,8 @@ def running(df: DataFrame, keys: list[str], order: str, value: str, name: str, g
 
 
 def bucket(buckets: str, seed: int) -> str:
-    """SQL for a document's bucket; its text counts too, so that an id that many
-    rows share (or none) is spread."""
+    """SQL for a document's bucket; its text's length counts too, so that an id
+    that many rows share (or none) is spread."""
     return f"({mixed(f'pmod(coalesce(doc_id, -1), {PRIME}) + mark', '1', str(seed))} % ({buckets}))"
 
 
@@ -97,8 +108,7 @@ def packed(sizes: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, Da
     """The plan (one row a source), the buckets (nr, bucket, n blocks, first
     block), and the rows of ``sizes`` with nr and bucket: without their text but
     with its hash, as stored, and with it."""
-    mark = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long")
-    whole = sizes.withColumn("text_key", F.xxhash64("text")).withColumn("mark", mark)
+    whole = sizes.withColumn("text_key", F.xxhash64("text")).withColumn("mark", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     small = materialize(whole.drop("text"), "sizes")
     per = targets(small).withColumn("buckets", F.expr(f"greatest(1L, (source_size + {block_words * BUCKET_BLOCKS - 1}) div {block_words * BUCKET_BLOCKS})"))
 
@@ -130,8 +140,8 @@ def draw(plan: DataFrame, seed: int = 1) -> DataFrame:
     chunks = plan.where("slots > 0").select("nr", "base", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk"))
     chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nr", "chunk")
     each = chunks.select("nr", "base", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
-    place = permuted("base + i", total, keys(total, f"{seed}L + 17"))
-    drawn = materialize(each.select("nr", F.expr(f"({place}) div {SHARD_SLOTS}").alias("shard")).groupBy("shard", "nr").agg(F.count("*").alias("n")), "draw")
+    each = permute(each, "base + i", total, keys(total, f"{seed}L + 17"), "place")
+    drawn = materialize(each.select("nr", F.expr(f"place div {SHARD_SLOTS}").alias("shard")).groupBy("shard", "nr").agg(F.count("*").alias("n")), "draw")
     in_shard = W.partitionBy("shard")
     ranges = running(drawn, ["nr"], "shard", "n", "first").withColumn("size", F.sum("n").over(in_shard))
     return materialize(ranges.withColumn("before", F.coalesce(F.sum("n").over(in_shard.orderBy("nr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "draw-ranges")
@@ -143,9 +153,11 @@ def slots(plan: DataFrame, drawn: DataFrame, seed: int = 1) -> DataFrame:
     next, each pass in an order of its own; no row unrolls more than a shard."""
     own = lambda turn: F.expr(keys("blocks", f"{seed}L + nr * 1009 + {turn}"))
     ranges = drawn.join(plan.select("nr", "blocks"), "nr").select("*", own(0).alias("own"), own(1).alias("own_again"), F.expr(keys("size", f"{seed}L + 31")).alias("of_shard"))
+    ranges = ranges.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "nr")
     each = ranges.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("j"))
-    block = permuted("(first + j) % blocks", "blocks", "if(first + j < blocks, own, own_again)")
-    return each.select("shard", F.expr(permuted("before + j", "size", "of_shard")).alias("slot"), "nr", F.expr(block).alias("block"))
+    each = permute(each, "(first + j) % blocks", "blocks", "if(first + j < blocks, own, own_again)", "block")
+    # Stored, as a filter that a join's key implies would be pushed through the chain.
+    return materialize(permute(each, "before + j", "size", "of_shard", "slot").select("shard", "slot", "nr", "block"), "slots")
 
 
 def dealt(plan: DataFrame, filled: DataFrame, whole: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:

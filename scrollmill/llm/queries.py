@@ -145,7 +145,7 @@ def mixing_sql(docs: str = "documents", extra: str = "", block_words: int = 128,
     bucket = f"({mixing.mixed(f'((coalesce(doc_id, -1) % {P} + {P}) % {P} + mark)', '1', str(seed))} % buckets)"
     return _duck(rf"""
 with sized as (
-    select doc_id, source{extra}, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, cast('0x' || substr(md5(coalesce(text, '')), 1, 7) as bigint) as mark from {docs}),
+    select doc_id, source{extra}, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, cast(coalesce(length(text), 0) as bigint) as mark from {docs}),
 per as (
     select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as nr,
         [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 as int) + 1] as weight
