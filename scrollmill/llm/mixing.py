@@ -137,10 +137,12 @@ def draw(plan: DataFrame, seed: int = 1) -> DataFrame:
     large source by itself; a shard's counts are summed before the shuffle.
     """
     total = f"{max(1, plan.agg(F.coalesce(F.sum('slots'), F.lit(0))).first()[0])}L"
-    chunks = plan.where("slots > 0").select("nr", "base", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk"))
+    # The keys ride along from the plan: an expression of no column would be worked out for every slot.
+    chunks = plan.where("slots > 0").select("nr", "base", "slots", F.expr(keys(total, f"{seed}L + 17 + nr * 0")).alias("every"))
+    chunks = chunks.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk"))
     chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nr", "chunk")
-    each = chunks.select("nr", "base", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
-    each = permute(each, "base + i", total, keys(total, f"{seed}L + 17"), "place")
+    each = chunks.select("nr", "base", "every", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
+    each = permute(each, "base + i", total, "every", "place")
     drawn = materialize(each.select("nr", F.expr(f"place div {SHARD_SLOTS}").alias("shard")).groupBy("shard", "nr").agg(F.count("*").alias("n")), "draw")
     in_shard = W.partitionBy("shard")
     ranges = running(drawn, ["nr"], "shard", "n", "first").withColumn("size", F.sum("n").over(in_shard))
