@@ -64,11 +64,6 @@ def shape(value: Column) -> Column:
     return F.mask(value, F.lit("A"), F.lit("a"), F.lit("9"), F.lit(None).cast("string"))
 
 
-def one_line(text: Column, cap: int = 80) -> Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > cap, F.concat(F.substring(flat, 1, cap), F.lit("…"))).otherwise(flat)
-
-
 def display_time(ts: Column, hours: int = 9) -> Column:
     """A UTC timestamp without zone on the display clock."""
     return ts + F.make_interval(hours=F.lit(hours))

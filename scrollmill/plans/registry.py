@@ -640,3 +640,6 @@ def set_ops(t) -> DataFrame:
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(cast(epoch_us(ts) // 1000 % 1000 as varchar), 3, '0') || 'Z' as iso, strftime(ts + interval 9 hour, '%Y-%m-%d %H:%M') as shown from events")
 def tz_render(t) -> DataFrame:
     return t("events").select("event_id", text.iso_ms(F.col("ts")).alias("iso"), F.date_format(text.display_time(F.col("ts")), "yyyy-MM-dd HH:mm").alias("shown"))
+
+
+from . import display as _display  # noqa: E402, F401  it registers its own

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import classify_line
 from ..functions.policy import line_policy
-from ..functions.redaction import redact
+from ..functions.redaction import redact_json
 from ..functions.text import file_id
 from ..operators.ordered import first_by
 from ..sources.transcripts import register
@@ -30,7 +30,7 @@ def events(lines: DataFrame) -> DataFrame:
     made = lines.select(
         key.alias("key"), sid.alias("sid"), file_id(F.col("path")).alias("fid"), "path", "off", get("$.type").alias("type"), get("$.subtype").alias("sub"),
         F.try_to_timestamp(get("$.timestamp")).alias("ts"), get("$.message.id").alias("msg_id"), get("$.message.model").alias("model"),
-        *(get(f"$.message.usage.{p}").cast("long").alias(c) for c, p in USAGE.items()), redact(F.col("raw")).alias("raw"), F.sha1(F.col("raw").cast("binary")).alias("lsha"),
+        *(get(f"$.message.usage.{p}").cast("long").alias(c) for c, p in USAGE.items()), F.when(bad.isNull(), redact_json(F.col("raw"))).otherwise(F.col("raw")).alias("raw"), F.sha1(F.col("raw").cast("binary")).alias("lsha"),
         F.coalesce(bad, F.when(~policy["keep"], policy["reason"])).alias("excluded"), F.when(bad.isNull() & policy["keep"], policy["reason"]).alias("unknown"),
     )
     # What a line is called is judged after redaction, once for each line.
