@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import content
 from ..functions.lines import classify_line
 from ..functions.policy import line_policy
 from ..functions.redaction import redact_json
+from ..functions.reduction import reduce_line
 from ..functions.text import file_id
 from ..operators.ordered import first_by
 from ..sources.transcripts import register
@@ -34,11 +36,18 @@ def events(lines: DataFrame) -> DataFrame:
         F.coalesce(bad, F.when(~policy["keep"], policy["reason"])).alias("excluded"), F.when(bad.isNull() & policy["keep"], policy["reason"]).alias("unknown"),
     )
     # What a line is called is judged after redaction, once for each line.
-    judged = made.withColumn("v", F.when(F.col("excluded").isNull(), F.try_parse_json("raw"))).withColumn("k", classify_line(F.col("v")))
+    light = made.withColumn("light", reduce_line(F.when(F.col("excluded").isNull(), F.col("raw"))))
+    light = light.withColumn("raw", F.coalesce("light.raw", "raw")).withColumn("strips", F.col("light.strips")).drop("light")
+    judged = light.withColumn("v", F.when(F.col("excluded").isNull(), F.try_parse_json("raw"))).withColumn("k", classify_line(F.col("v")))
     strange, stored = F.col("unknown").isNotNull(), F.col("excluded").isNull()
     named = F.regexp_replace("unknown", "^unknown_", "")
-    return judged.select(
-        *made.columns, F.when(stored, F.when(strange, "unknown").otherwise(F.col("k.kind"))).alias("kind"), F.when(stored, F.when(strange, named).otherwise(F.col("k.sub"))).alias("kind_sub"),
+    kind = F.when(stored, F.when(strange, "unknown").otherwise(F.col("k.kind")))
+    called = judged.withColumn("kind", kind).withColumn("kind_sub", F.when(stored, F.when(strange, named).otherwise(F.col("k.sub"))))
+    own = F.when(stored & (F.col("type") == "assistant"), content.tool_uses(F.col("v")))
+    given = F.when(stored & (F.col("kind") == "tool_result"), content.tool_results(F.col("v")))
+    return called.select(
+        *light.columns, "kind", "kind_sub", F.when(stored, content.line_text(F.col("v"), F.col("kind"))).alias("text"),
+        own.alias("tool_uses"), given.alias("tool_results"),
     )
 
 
