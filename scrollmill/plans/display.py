@@ -105,15 +105,15 @@ def doc_index_body(t) -> DataFrame:
     return t("documents").select("doc_id", F.sha1(display.document_body(kind, F.col("text")).cast("binary")).alias("body_sha"))
 
 
-# Clocks: a region with a summer time, by its rules of 2024 and the years around ---
-
-_NY = "ts - case when ts >= {a} and ts < {b} then interval 4 hour else interval 5 hour end"
-
+# Clocks: a region with a summer time, by its rules --------------------------------
 
 def _summer(ts: str) -> str:
-    """Whether New York's clock is ahead: second Sunday of March, 2 am, to first Sunday of November."""
+    """Whether New York's clock is ahead: from the second Sunday of March, 2 am, to
+    the first of November; before 2007 from April's first to October's last."""
     day = lambda m, nth: f"make_date(year({ts}), {m}, 1) + cast((7 - isodow(make_date(year({ts}), {m}, 1))) % 7 + {7 * (nth - 1)} as int)"
-    return f"({ts} >= {day(3, 2)} + interval 7 hour and {ts} < {day(11, 1)} + interval 6 hour)"
+    last = f"make_date(year({ts}), 10, 31) - cast(isodow(make_date(year({ts}), 10, 31)) % 7 as int)"
+    begin, end = (f"(case when year({ts}) < 2007 then {old} else {new} end)" for old, new in ((day(4, 1), day(3, 2)), (last, day(11, 1))))
+    return f"({ts} >= {begin} + interval 7 hour and {ts} < {end} + interval 6 hour)"
 
 
 _LOCAL = f"(ts - case when {_summer('ts')} then interval 4 hour else interval 5 hour end)"

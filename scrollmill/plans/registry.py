@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import extraction, lines, policy, redaction, rollout, shell, text
-from ..operators import ordered, search
+from ..operators import known, ordered, search
 
 QUERIES, SQL = {}, {}
 
@@ -141,14 +141,14 @@ def _duck_error_line(c: str) -> str:
     return f"substr(trim({c}), 1, 200)"
 
 
-@query(f"select doc_id, {_duck_error_line('substr(text, 1, 300)')} as line from documents")
+@query(f"select doc_id, {_duck_error_line('text')} as line from documents")
 def cls_error_normalize(t) -> DataFrame:
-    return t("documents").select("doc_id", text.error_line(F.substring("text", 1, 300)).alias("line"))
+    return t("documents").select("doc_id", text.error_line(F.col("text")).alias("line"))
 
 
-@query(f"select substr(sha1(line), 1, 12) as sig, count(*) as n from (select {_duck_error_line('substr(text, 1, 300)')} as line from documents) where line <> '' group by 1")
+@query(f"select substr(sha1(line), 1, 12) as sig, count(*) as n from (select {_duck_error_line('text')} as line from documents) where line <> '' group by 1")
 def cls_error_sig(t) -> DataFrame:
-    return t("documents").select(text.error_signature(F.substring("text", 1, 300)).alias("sig")).where("sig is not null").groupBy("sig").agg(F.count("*").alias("n"))
+    return t("documents").select(text.error_signature(F.col("text")).alias("sig")).where("sig is not null").groupBy("sig").agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, sha1(case when length(text) > 3000 then substr(text, 1, 2500) || chr(10) || '…' || chr(10) || right(text, 500) else text end) as body_sha from documents")
@@ -255,21 +255,38 @@ def cls_line_kinds(t) -> DataFrame:
 # Redaction ---------------------------------------------------------------
 
 
-def _redacted(name: str, synthetic: str, expected: str, kinds: list[str], table: str = "documents", key: str = "doc_id"):
-    """A query that plants a secret in synthetic text and compares the whole result."""
-    QUERIES[name] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, redaction.redact(F.expr(synthetic), kinds).alias("line"))
-    QUERIES[name].__name__ = name
-    SQL[name] = f"select {key}, {expected} as line from {table}"
+#: The whole text behind a planted secret, without what could be part of another.
+_REST = "translate(coalesce(text, ''), '=:%&-_@+0A', '')"
 
 
-_redacted("red_pw_kv", "concat('DB_PASSWORD=Zq', doc_id, 'xK9 ', substring(text, 1, 50))", "'DB_PASSWORD=[REDACTED:pw_kv] ' || substr(text, 1, 50)", ["pw_kv"])
-_redacted("red_pw_env", "concat('ROOTPW=\"Aa', doc_id, '#z9\" end')", "'ROOTPW=\"[REDACTED:pw_env]\" end'", ["pw_env"])
-_redacted("red_dsn", "concat('postgresql://app:s3c', doc_id, '@db:5432/x')", "'postgresql://app:[REDACTED:dsn]@db:5432/x'", ["dsn"])
-_redacted("red_identified_by", "concat('ALTER USER a IDENTIFIED BY \"pw', doc_id, '\" ok')", "'ALTER USER a IDENTIFIED BY \"[REDACTED:identified_by]\" ok'", ["identified_by"])
-_redacted("red_bearer", "concat('Authorization: Bearer ', sha1(cast(doc_id as string)), ' x')", "'Authorization: Bearer [REDACTED:bearer] x'", ["bearer"])
-_redacted("red_cli_passwords", "concat('mysql -u r -pXyz', doc_id, 'y db; sshpass -p Zzz', doc_id, 'q ssh h; curl -u bob:Kkk', doc_id, 'w h')", "'mysql -u r -p[REDACTED:mysql_p] db; sshpass -p [REDACTED:sshpass] ssh h; curl -u bob:[REDACTED:basic_auth] h'", ["mysql_p", "sshpass", "basic_auth"])
-_redacted("red_token_shapes", "concat('a sk-', sha1(cast(doc_id as string)), ' b ghp_', sha1(cast(doc_id as string)), ' c AKIA', upper(substring(sha1(cast(doc_id as string)), 1, 16)), ' d xoxb-', sha1(cast(doc_id as string)))", "'a [REDACTED:sk_key] b [REDACTED:github_token] c [REDACTED:aws_key] d [REDACTED:slack_token]'", ["sk_key", "github_token", "aws_key", "slack_token"])
-_redacted("red_phone", "concat('call 010-1234-', lpad(doc_id % 10000, 4, '0'), ' or 2010-1234-5678')", "'call [REDACTED:phone] or 2010-1234-5678'", ["phone"])
+def _redacted(name: str, planted: str, expected: str, kinds: list[str]):
+    """A query that plants a secret before every whole text and compares all of it."""
+    def run(spark, sf_dir):
+        line = redaction.redact(F.expr(f"concat({planted}, ' ', {_REST})"), kinds)
+        return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring_index(line, " ", 12).alias("head"), F.sha1(line.cast("binary")).alias("line_sha"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    SQL[name] = f"select doc_id, array_to_string(string_split(line, ' ')[1:12], ' ') as head, sha1(line) as line_sha from (select doc_id, {expected} || ' ' || {_REST} as line from documents)"
+
+
+_redacted("red_pw_kv", "'DB_PASSWORD=Zq', doc_id, 'xK9'", "'DB_PASSWORD=[REDACTED:pw_kv]'", ["pw_kv"])
+_redacted("red_pw_env", "'ROOTPW=\"Aa', doc_id, '#z9\" end'", "'ROOTPW=\"[REDACTED:pw_env]\" end'", ["pw_env"])
+_redacted("red_dsn", "'postgresql://app:s3c', doc_id, '@db:5432/x'", "'postgresql://app:[REDACTED:dsn]@db:5432/x'", ["dsn"])
+_redacted("red_identified_by", "'ALTER USER a IDENTIFIED BY \"pw', doc_id, '\" ok'", "'ALTER USER a IDENTIFIED BY \"[REDACTED:identified_by]\" ok'", ["identified_by"])
+_redacted("red_bearer", "'Authorization: Bearer ', sha1(cast(doc_id as string)), ' x'", "'Authorization: Bearer [REDACTED:bearer] x'", ["bearer"])
+_redacted("red_cli_passwords", "'mysql -u r -pXyz', doc_id, 'y db; sshpass -p Zzz', doc_id, 'q ssh h; curl -u bob:Kkk', doc_id, 'w h'", "'mysql -u r -p[REDACTED:mysql_p] db; sshpass -p [REDACTED:sshpass] ssh h; curl -u bob:[REDACTED:basic_auth] h'", ["mysql_p", "sshpass", "basic_auth"])
+_redacted("red_token_shapes", "'a sk-', sha1(cast(doc_id as string)), ' b ghp_', sha1(cast(doc_id as string)), ' c AKIA', upper(substring(sha1(cast(doc_id as string)), 1, 16)), ' d xoxb-', sha1(cast(doc_id as string))", "'a [REDACTED:sk_key] b [REDACTED:github_token] c [REDACTED:aws_key] d [REDACTED:slack_token]'", ["sk_key", "github_token", "aws_key", "slack_token"])
+_redacted("red_phone", "'call 010-1234-', lpad(doc_id % 10000, 4, '0'), ' or 2010-1234-5678'", "'call [REDACTED:phone] or 2010-1234-5678'", ["phone"])
+
+
+@query(f"""select doc_id, sha1('say "password=[REDACTED:pw_kv]" ' || {_REST}) as said_sha, doc_id as n from documents""")
+def red_json_lines(t) -> DataFrame:
+    """Strings inside JSON lines are redacted and the lines still parse."""
+    said = F.expr(f"concat('say \"password=Zq', doc_id, 'xK9\" ', {_REST})")
+    raw = redaction.redact_json(F.to_json(F.struct(F.col("doc_id").alias("n"), F.array(F.struct(said.alias("said"))).alias("parts"))), ["pw_kv"])
+    made = t("documents").select("doc_id", raw.alias("raw"))
+    return made.select("doc_id", F.sha1(F.get_json_object("raw", "$.parts[0].said").cast("binary")).alias("said_sha"), F.get_json_object("raw", "$.n").cast("long").alias("n"))
 
 
 @query(r"select doc_id, sha1(regexp_replace(text, '(^|[^A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}', '\1[REDACTED:email]', 'g')) as sha from documents")
@@ -288,33 +305,33 @@ def red_counts_by_kind(t) -> DataFrame:
     return t("documents").select(*redaction.counts(F.col("text"), ["sk_key", "aws_key"])).agg(big(F.sum("n_sk_key")).alias("n_sk_key"), big(F.sum("n_aws_key")).alias("n_aws_key"))
 
 
-@query("select p_partkey, k, substr(p_name, i, k) as part from (select p_partkey, p_name, k, unnest(generate_series(1, length(p_name) - k + 1)) as i from (select *, unnest(generate_series(greatest(8, cast(ceil(0.7 * length(p_name)) as int)), length(p_name))) as k from part))")
+@query("select distinct p_partkey, part from (select p_partkey, substr(p_name, i, k) as part from (select p_partkey, p_name, k, unnest(generate_series(1, length(p_name) - k + 1)) as i from (select *, unnest(generate_series(greatest(8, cast(ceil(0.7 * length(p_name)) as int)), length(p_name))) as k from part))) where regexp_matches(part, '[^A-Za-z]')")
 def red_known_fragments(t) -> DataFrame:
-    p = t("part").select("p_partkey", "p_name").withColumn("least", F.greatest(F.lit(8), F.ceil(0.7 * F.length("p_name")).cast("int"))).where("least <= length(p_name)")
-    k = p.select("p_partkey", "p_name", F.explode(F.expr("sequence(least, length(p_name))")).alias("k"))
-    return k.select("p_partkey", "k", F.explode(F.expr("transform(sequence(1, length(p_name) - k + 1), i -> substring(p_name, i, k))")).alias("part"))
+    return t("part").select("p_partkey", F.explode(redaction.fragments(F.col("p_name"))).alias("part"))
 
 
-@query("select p_partkey, substr(d, 1, n) as prefix from (select p_partkey, d, unnest(generate_series(6, length(d))) as n from (select p_partkey, unnest([sha256(p_name), sha1(p_name), md5(p_name)]) as d from part))")
+@query("select p_partkey, substr(d, 1, n) as prefix from (select p_partkey, d, unnest(generate_series(6, length(d))) as n from (select p_partkey, unnest([sha256(p_name), sha1(p_name), md5(p_name), sha256(p_name || chr(10)), sha1(p_name || chr(10)), md5(p_name || chr(10))]) as d from part))")
 def red_hash_prefix(t) -> DataFrame:
-    d = t("part").select("p_partkey", F.explode(F.array(F.sha2("p_name", 256), F.sha1(F.col("p_name").cast("binary")), F.md5(F.col("p_name").cast("binary")))).alias("d"))
-    return d.select("p_partkey", F.explode(F.expr("transform(sequence(6, length(d)), n -> substring(d, 1, n))")).alias("prefix"))
+    return t("part").select("p_partkey", F.explode(redaction.digest_prefixes(F.col("p_name"))).alias("prefix"))
 
 
-@query("with v as (select p_name as v from part), s as (select v, length(v) as n, cast(regexp_matches(v, '[a-z]') as int) + cast(regexp_matches(v, '[A-Z]') as int) + cast(regexp_matches(v, '[0-9]') as int) + cast(regexp_matches(v, '[^A-Za-z0-9]') as int) as c from v) select case when n < 4 or n > 200 or regexp_matches(v, '^[aA9]+$') then 'none' when n >= 8 and c >= 3 then 'strong' else 'weak' end as strength, count(*) as n from s group by 1")
+@query(r"""with v as (select v, length(v) as n, cast(regexp_matches(v, '[a-z]') as int) + cast(regexp_matches(v, '[A-Z]') as int) + cast(regexp_matches(v, '[0-9]') as int) + cast(regexp_matches(v, '[^A-Za-z0-9]') as int) as c,
+    len(list_distinct(string_split(v, ''))) as u, regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') as mixed from (select case when p_partkey % 2 = 0 then replace(p_name, ' ', '') else p_name end as v from part union all select p_brand from part union all select 'k' || p_partkey || p_type from part))
+    select case when n < 4 or n > 200 or regexp_matches(v, '\s') or u <= 2 then 'none' when n >= 8 and (mixed or c >= 3) then 'strong' else 'weak' end as strength, count(*) as n from v group by 1""")
 def red_value_strength(t) -> DataFrame:
-    return t("part").groupBy(redaction.value_strength(F.col("p_name")).alias("strength")).agg(F.count("*").alias("n"))
+    p = t("part")
+    v = p.select(F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.col("p_name")).alias("v")).unionAll(p.select("p_brand")).unionAll(p.select(F.concat(F.lit("k"), F.col("p_partkey").cast("string"), "p_type")))
+    return v.groupBy(redaction.value_strength(F.col("v")).alias("strength")).agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, 'again [REDACTED:known]' as line from documents where doc_id % 10 = 0")
+@query("select doc_id, sha1(coalesce(text, '') || ' again [REDACTED:known] end') as line_sha from documents")
 def red_harvest_two_pass(t) -> DataFrame:
-    """Values learned in a password context mask the same values anywhere: pass
-    one collects distinct values, pass two joins them to the words of other lines."""
-    lines = t("documents").where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("password=Zq"), "doc_id", F.lit("xK")).alias("a"), F.concat(F.lit("again Zq"), "doc_id", F.lit("xK")).alias("b"))
-    known = lines.select(F.regexp_extract("a", r"password=(\S+)", 1).alias("word")).where(redaction.value_strength(F.col("word")) != "none").distinct()
-    words = lines.select("doc_id", F.posexplode(F.split("b", " ")).alias("i", "word"))
-    marked = words.join(known.withColumn("hit", F.lit(True)), "word", "left").withColumn("word", F.when(F.col("hit"), "[REDACTED:known]").otherwise(F.col("word")))
-    return marked.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("line"))
+    """Values learned in a secret context anywhere mask the same words in all whole texts."""
+    d = t("documents")
+    value = F.concat(F.lit("Zq8w"), F.col("doc_id").cast("string"), F.lit("xK9"))
+    learned = known.learn(d.select(F.concat(F.lit("password="), value).alias("line")), "line")
+    lines = d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" again "), value, F.lit(" end")).alias("line"))
+    return known.mask(lines, "doc_id", "line", learned).select("doc_id", F.sha1(F.col("line").cast("binary")).alias("line_sha"))
 
 
 # Audit -------------------------------------------------------------------
@@ -642,4 +659,4 @@ def tz_render(t) -> DataFrame:
     return t("events").select("event_id", text.iso_ms(F.col("ts")).alias("iso"), F.date_format(text.display_time(F.col("ts")), "yyyy-MM-dd HH:mm").alias("shown"))
 
 
-from . import display as _display  # noqa: E402, F401  it registers its own
+from . import display as _display, lines as _lines  # noqa: E402, F401  they register their own
