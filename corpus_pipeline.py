@@ -54,7 +54,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL cannot express the first two stages; tests hold them against brute force.
+#: SQL cannot express the first two stages; tests hold each of the first four against
+#: brute force on its own input, and the run against their sequence.
 ORACLE_SQL = None
 
 
