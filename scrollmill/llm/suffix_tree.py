@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, remainder
-from .textarrays import LOWERED, SPACE, column, pieces, powers, range_hashes, sums, words
+from .textarrays import LOWERED, SPACE, column, pieces, range_hashes, sums, words
 
 SYMBOLS, START, SEPARATOR, END = 64, 0, 1, 2
 #: Stands for the end among the word hashes.
@@ -49,35 +49,83 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
+#: Symbols of bytes as they stand in a text.
+SYMBOL_OF = CLASSES[LOWERED]
+
+
 def symbol_stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts in a row, and where each text begins (plus one)."""
-    low = LOWERED[data]
     inside = ~SPACE[data]
-    _, ends, first = words(data, at, inside)
-    n_inside = np.concatenate([[0], np.cumsum(inside)])
-    begin = n_inside[at] + first + np.arange(len(at))
-    out = np.full(begin[-1], SEPARATOR, np.int64)
-    kept = np.flatnonzero(inside)
-    closed = np.zeros(len(data) + 1, np.int64)
-    closed[ends] = 1
-    text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))[kept]
-    out[np.arange(len(kept)) + np.cumsum(closed)[kept] + text_of] = CLASSES[low[kept]]
+    starts, ends, first = words(data, at, inside)
+    length = np.cumsum(ends - starts)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    begin = np.r_[0, length][first] + first + np.arange(len(at))
+    out, letter = np.full(begin[-1], SEPARATOR, np.int64), np.ones(begin[-1], bool)
+    letter[length + np.arange(len(length)) + text] = False
+    letter[begin[1:] - 1] = False
+    out[letter] = SYMBOL_OF[data[inside]]
     out[begin[1:] - 1] = END
     return out, begin
 
 
 def context_codes(stream: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
     """Next symbol in the low six bits, the one before it in the next six, ..."""
-    seen = np.arange(len(stream)) - np.repeat(begin[:-1], np.diff(begin))
     code = stream.copy()
     for d in range(1, depth + 1):
-        back = np.zeros(len(stream), np.int64)
-        back[d:] = stream[:-d] if d < len(stream) else 0
-        back[seen < d] = START
-        code |= back << (6 * d)
+        code[d:] |= stream[:-d] << (6 * d)
+    for seen in range(depth):  # START is 0: what stands before a text is cleared
+        at = begin[:-1] + seen
+        code[at[at < begin[1:]]] &= low(seen + 1)
     return code
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats the hashing of ``np.unique`` here."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+class Lookup:
+    """Where distinct int64 ``keys`` stand, by open addressing: a few memory
+    accesses a question where a binary search takes one for every halving."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        waiting, at = np.arange(len(keys), dtype=np.int32), self.home(keys)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]
+            lost = self.slots[at] != waiting
+            waiting, at = waiting[lost], (at[lost] + 1) & self.mask
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        """Index of each asked key, or -1."""
+        at = self.home(asked)
+        found = self.slots[at]
+        if not len(self.keys):
+            return found
+        going = np.flatnonzero((found >= 0) & (self.keys[found] != asked))
+        at = at[going]
+        while len(going):
+            at = (at + 1) & self.mask
+            found[going] = here = self.slots[at]
+            more = (here >= 0) & (self.keys[here] != asked[going])
+            going, at = going[more], at[more]
+        return found
+
+
+def by_chunk(values: np.ndarray, chunk: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(chunk, its distinct values); texts have a chunk and a number of values each."""
+    chunks = np.unique(chunk)
+    for c in chunks:
+        yield int(c), distinct(values if len(chunks) == 1 else values[np.repeat(chunk == c, sizes)])
+
+
 class Tally:
     """Counts of int64 keys, merged now and then so that memory stays bounded."""
 
@@ -254,16 +302,21 @@ def near_distribution(near: np.ndarray, reached: np.ndarray, min_count: int) ->
     return smoothed(two, smoothed(one, root[None], node_one)[None], node_two).ravel()
 
 
-def far_probabilities(levels: list[Level], codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def far_lookups(levels: list[Level]) -> list[tuple[Level, np.ndarray, Lookup, Lookup]]:
+    """Each level with its kept contexts, and where these and its keys stand."""
+    rows = [np.flatnonzero(level.node) for level in levels]
+    return [(level, r, Lookup(level.contexts[r]), Lookup(level.keys)) for level, r in zip(levels, rows, strict=True)]
+
+
+def far_probabilities(levels: list[tuple[Level, np.ndarray, Lookup, Lookup]], codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which ``codes`` have a kept context over NEAR, and the probabilities of all
     in their longest kept suffix; ``p`` has those at NEAR."""
-    far, p = np.zeros(len(codes), bool), p.copy()
-    for d, level in enumerate(levels, NEAR + 1):
-        at = np.minimum(np.searchsorted(level.contexts, (codes >> 6) & low(d)), len(level.contexts) - 1)
-        live = np.flatnonzero((level.contexts[at] == (codes >> 6) & low(d)) & level.node[at])
-        own, at = codes[live] & low(d + 1), at[live]
-        where = np.minimum(np.searchsorted(level.keys, own), len(level.keys) - 1)
-        n = np.where(level.keys[where] == own, level.n[where], 0)
+    far, p, live = np.zeros(len(codes), bool), p.copy(), np.arange(len(codes))
+    for d, (level, rows, context_at, key_at) in enumerate(levels, NEAR + 1):
+        at = context_at((codes[live] >> 6) & low(d))
+        live, at = live[at >= 0], rows[at[at >= 0]]  # all suffixes of a kept context are kept
+        where = key_at(codes[live] & low(d + 1))
+        n = np.where(where >= 0, level.n[where], 0)
         p[live] = (n + level.kinds[at] * p[live]) / (level.total[at] + level.kinds[at])
         far[live] = True
     return far, p
@@ -351,11 +404,10 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, chunk_bytes:
         asked: dict[int, list[np.ndarray]] = {}
         for piece in pieces(batches):
             stream, begin = symbol_stream(*column(piece.column("text")))
-            code, chunk = context_codes(stream, begin, depth), np.repeat(piece.column("chunk").to_numpy(), np.diff(begin))
-            for c in np.unique(chunk):
-                asked.setdefault(int(c), []).append(np.unique(code[chunk == c]))
+            for c, codes in by_chunk(context_codes(stream, begin, depth), piece.column("chunk").to_numpy(), np.diff(begin)):
+                asked.setdefault(c, []).append(codes)
         for c, found in asked.items():
-            code = np.unique(np.concatenate(found))
+            code = distinct(np.concatenate(found))
             bucket = bucket_of(code, buckets)
             order = np.argsort(bucket, kind="stable")
             raw, edges = packed(code[order], width), np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
@@ -364,7 +416,7 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, chunk_bytes:
                 [pa.array(bucket[order][edges[:-1]], pa.int32()), pa.array(np.full(len(blobs), c, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "codes"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        levels, chunk, out = levels_of(left) if left.num_rows else [], [], []
+        levels, chunk, out = far_lookups(levels_of(left)) if left.num_rows else [], [], []
         for c, blob in zip(right.column("chunk").to_pylist(), right.column("codes").to_pylist(), strict=True):
             code = unpacked(np.frombuffer(blob, np.uint8).reshape(-1, width))
             far, p = far_probabilities(levels, code, near_p.value[code & low(NEAR + 1)])
@@ -376,18 +428,17 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, chunk_bytes:
     asked = dealt.mapInArrow(ask, "bucket int, chunk int, codes binary")
     answers = codes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "chunk int, spelled binary")
 
-    def distinct(batches):
+    def ask_words(batches):
         tallies: dict[int, list[np.ndarray]] = {}
         for piece in pieces(batches):
             keys, first = word_keys(*column(piece.column("text")))
-            chunk = np.repeat(piece.column("chunk").to_numpy(), np.diff(first))
-            for c in np.unique(chunk):
-                tallies.setdefault(int(c), []).append(np.unique(keys[chunk == c]))
+            for c, own in by_chunk(keys, piece.column("chunk").to_numpy(), np.diff(first)):
+                tallies.setdefault(c, []).append(own)
         for c, found in tallies.items():
-            keys = np.unique(np.concatenate(found))
+            keys = distinct(np.concatenate(found))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys)], ["chunk", "key"])
 
-    known = dealt.mapInArrow(distinct, "chunk int, key long").join(counts, "key").select("chunk", "key", "n")
+    known = dealt.mapInArrow(ask_words, "chunk int, key long").join(counts, "key").select("chunk", "key", "n")
     known = known.unionByName(answers, allowMissingColumns=True)
     end_n = counts.where(F.col("key") == int(END_KEY)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     floor = np.log10(0.1 / below)
@@ -396,24 +447,21 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, chunk_bytes:
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         raw = joined(right.column("spelled"), width + 4)
         codes, log_p = unpacked(raw[:, :width]), raw[:, width:].copy().view("<f4").ravel()
-        order = np.argsort(codes)
-        codes, log_p = np.r_[codes[order], np.iinfo(np.int64).max], np.r_[log_p[order], np.float32(0)]
+        code_at, log_p = Lookup(codes), np.r_[log_p, np.float32(0)]
         log_near = np.log10(np.maximum(near_p.value, 1e-300)).astype(np.float32)
 
         def log_next(code):
-            where = np.searchsorted(codes[:-1], code)
-            return np.where(codes[where] == code, log_p[where], log_near[code & low(NEAR + 1)])
+            where = code_at(code)
+            return np.where(where >= 0, log_p[where], log_near[code & low(NEAR + 1)])
 
         keys, n = (right.column(c).drop_null().to_numpy() for c in ("key", "n"))
-        order = np.argsort(keys)
-        keys, logs = np.r_[keys[order], np.iinfo(np.int64).max], np.r_[np.log10((n[order] + 0.1) / below), 0.0]
+        word_at, logs = Lookup(keys), np.r_[np.log10((n + 0.1) / below), floor]  # the last one for -1
         out = []
         for piece in pieces(left.to_batches()):
             data, at = column(piece.column("text"))
             own, first = word_keys(data, at)
-            where = np.searchsorted(keys[:-1], own)
-            hit = keys[where] == own
-            word = np.where(hit, logs[where], floor)
+            where = word_at(own)
+            hit, word = where >= 0, logs[where]
             base = sums(word, first) + end_base
             spelled, end_spelled = token_scores(data, at, depth, log_next, log_byte)
             total = mixed(word, spelled, first, np.full(len(first) - 1, end_base), end_spelled)
