@@ -223,11 +223,14 @@ WEIGHTS = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95, 0.999)
 
 
 def mixed(word: np.ndarray, spelled: np.ndarray, first: np.ndarray, end: np.ndarray, end_spelled: np.ndarray) -> np.ndarray:
-    """log10 probability of each text from both log10 views of its tokens."""
-    views = []
+    """log10 probability of each text from both log10 views of its tokens.
+
+    The word view has no zeros, so a spelling too improbable for a double adds none.
+    """
+    views, known, own = [], (10.0**word, 10.0**end), (10.0**spelled, 10.0**end_spelled)
     for w in WEIGHTS:
-        both = lambda a, b: np.logaddexp(a * np.log(10) + np.log(w), b * np.log(10) + np.log1p(-w)) / np.log(10)  # noqa: B023, E731
-        views.append(sums(both(word, spelled), first) + both(end, end_spelled))
+        token, last = (np.log10(w * a + (1 - w) * b) for a, b in zip(known, own, strict=True))
+        views.append(sums(token, first) + last)
     views = np.stack(views)
     top = views.max(0)
     return top + np.log10(np.mean(10 ** (views - top), 0))
@@ -359,6 +362,9 @@ def score(docs: DataFrame, held_out_mod: int = 10, depth: int = 5, chunk_bytes:
     Learns from rows whose crc32(doc_id as text) mod ``held_out_mod`` is not 0.
     Returns one row per input row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (add-0.1 unigrams), score (log10 probability).
+    Both scores are over the same tokens: the training ones, the end, and one
+    that stands for any other word, of which the tree adds no more than the
+    spelling at hand; so the probabilities of all tokens sum to one at most.
     A null or empty text has one token, its end. Equal rows get equal results;
     other columns are ignored; an empty table gives an empty result.
 
