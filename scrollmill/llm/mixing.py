@@ -51,14 +51,19 @@ def permuted(x: str, n: str, by: str) -> str:
 
 
 def permute(df: DataFrame, x: str, n: str, by: str, name: str) -> DataFrame:
-    """``df`` with the column ``name``: ``permuted`` as a chain of projections,
-    which compiled code runs ten times as fast as a lambda over the keys."""
-    df = df.withColumn("__by", F.expr(by)).withColumn("__y", F.expr(x))
+    """``df`` with the column ``name``: ``permuted`` as one projection a round.
+
+    Within a round the repeated terms are common subexpressions, which become
+    methods of their own: the JVM compiles those after a few rows, and leaves a
+    method of over 8000 bytes, as one of all the steps would be, interpreted.
+    """
+    kept = df.columns
+    df = df.select(*kept, F.expr(by).alias("__by"), F.expr(x).alias("__y"), F.expr(n).alias("__n"))
     for k in (f"__by[{r}]" for r in range(ROUNDS)):
-        df = df.withColumn("__p", F.expr(f"({k} - __y + {n}) % {n}"))
-        df = df.withColumn("__o", F.expr(f"(greatest(__y, __p) % {PRIME} * 48271 + {k}) % {PRIME}"))
-        df = df.withColumn("__y", F.expr(f"if((__o * __o + {k}) % {PRIME} div 65536 % 2 = 1, __p, __y)"))
-    return df.withColumn(name, F.col("__y")).drop("__by", "__y", "__p", "__o")
+        partner = f"({k} - __y + if({k} < __y, __n, 0L))"
+        once = f"((greatest(__y, {partner}) % {PRIME} * 48271 + {k}) % {PRIME})"
+        df = df.select(*kept, "__by", F.expr(f"if(({once} * {once} + {k}) % {PRIME} & 65536 = 0, __y, {partner})").alias("__y"), "__n")
+    return df.select(*kept, F.col("__y").alias(name))
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
@@ -138,12 +143,12 @@ def draw(plan: DataFrame, seed: int = 1) -> DataFrame:
     """
     total = f"{max(1, plan.agg(F.coalesce(F.sum('slots'), F.lit(0))).first()[0])}L"
     # The keys ride along from the plan: an expression of no column would be worked out for every slot.
-    chunks = plan.where("slots > 0").select("nr", "base", "slots", F.expr(keys(total, f"{seed}L + 17 + nr * 0")).alias("every"))
+    chunks = plan.where("slots > 0").select("nr", "base", "slots", F.expr(f"{total} + nr * 0").alias("total"), F.expr(keys(total, f"{seed}L + 17 + nr * 0")).alias("every"))
     chunks = chunks.select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk"))
     chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nr", "chunk")
-    each = chunks.select("nr", "base", "every", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
-    each = permute(each, "base + i", total, "every", "place")
-    drawn = materialize(each.select("nr", F.expr(f"place div {SHARD_SLOTS}").alias("shard")).groupBy("shard", "nr").agg(F.count("*").alias("n")), "draw")
+    each = chunks.select("nr", "base", "total", "every", F.explode(F.expr(f"sequence(chunk * {SLOT_CHUNK}, least(slots, (chunk + 1) * {SLOT_CHUNK}) - 1)")).alias("i"))
+    each = permute(each, "base + i", "total", "every", "place").select("nr", F.expr(f"place div {SHARD_SLOTS}").alias("shard"))
+    drawn = materialize(each.groupBy("shard", "nr").agg(F.count("*").alias("n")), "draw")
     in_shard = W.partitionBy("shard")
     ranges = running(drawn, ["nr"], "shard", "n", "first").withColumn("size", F.sum("n").over(in_shard))
     return materialize(ranges.withColumn("before", F.coalesce(F.sum("n").over(in_shard.orderBy("nr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))), "draw-ranges")
@@ -158,8 +163,10 @@ def slots(plan: DataFrame, drawn: DataFrame, seed: int = 1) -> DataFrame:
     ranges = ranges.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "nr")
     each = ranges.select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("j"))
     each = permute(each, "(first + j) % blocks", "blocks", "if(first + j < blocks, own, own_again)", "block")
-    # Stored, as a filter that a join's key implies would be pushed through the chain.
-    return materialize(permute(each, "before + j", "size", "of_shard", "slot").select("shard", "slot", "nr", "block"), "slots")
+    # Stored between, as a stage compiles one permutation well but not two, and after,
+    # as a filter that a join's key implies would be pushed through the permutations.
+    each = materialize(each.select("shard", "nr", "block", F.expr("before + j").alias("at"), "size", "of_shard"), "slot-blocks")
+    return materialize(permute(each, "at", "size", "of_shard", "slot").select("shard", "slot", "nr", "block"), "slots")
 
 
 def dealt(plan: DataFrame, filled: DataFrame, whole: DataFrame, block_words: int = 128, seed: int = 1) -> DataFrame:
