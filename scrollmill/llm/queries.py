@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, mixing, pii, quality, simhash, suffix_tree, toxicity, warc
+from . import audit, chat, decontaminate, minhash, mixing, pii, quality, simhash, suffix_tree, toxicity, warc
 from .common import remainder, table
 
 #: Fixed value: what both turns of conversation -7 say.
@@ -74,7 +74,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash, op11_filter_audit)}
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
 _ROLE = "replace(replace(" + _ESCAPED.format("role") + ", ':', '\\c'), chr(10), '\\n')"
@@ -180,4 +184,4 @@ select doc_id{extra}, size, source_size, target, coalesce(taken, 0) as taken, fi
 """)
 
 
-SQL = {"op1_chat_format": OP1_SQL, "op3_mixing": mixing_sql(), "op7_winnowing": OP7_SQL, "op9_warc": OP9_SQL}
+SQL = {"op1_chat_format": OP1_SQL, "op3_mixing": mixing_sql(), "op7_winnowing": OP7_SQL, "op9_warc": OP9_SQL, "op11_filter_audit": audit.SQL}
