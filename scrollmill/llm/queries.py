@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontaminate, minhash, mixing, pii, quality, simhash, suffix_tree, toxicity, warc
+from . import audit, chat, decontaminate, minhash, mixing, pii, quality, simhash, suffix_tree, toxicity, warc, whitening
 from .common import remainder, table
 
 #: Fixed value: what both turns of conversation -7 say.
@@ -78,7 +78,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash, op11_filter_audit)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash, op11_filter_audit, op12_whitening)}
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
 _ROLE = "replace(replace(" + _ESCAPED.format("role") + ", ':', '\\c'), chr(10), '\\n')"
