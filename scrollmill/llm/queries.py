@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, decontaminate, minhash, mixing, pii, quality, simhash, suffix_tree, toxicity, warc, whitening
+from . import audit, chat, decontaminate, language, minhash, mixing, pii, quality, simhash, suffix_tree, toxicity, warc, whitening
 from .common import remainder, table
 
 #: Fixed value: what both turns of conversation -7 say.
@@ -82,7 +82,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash, op11_filter_audit, op12_whitening)}
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_mixing, op4_suffix_tree, op5_pii, op6_minhash, op6_near_duplicates, op7_winnowing, op8_toxicity, op9_warc, op10_simhash, op11_filter_audit, op12_whitening, op13_language)}
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
 _ROLE = "replace(replace(" + _ESCAPED.format("role") + ", ':', '\\c'), chr(10), '\\n')"

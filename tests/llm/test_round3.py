@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrollmill.llm import audit, whitening
+from scrollmill.llm import audit, language, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +112,89 @@ def test_a_small_bitmap_costs_work_and_no_result(spark):
     for bits in (3, 15, 20):
         rows, copies = audit.duplicates(docs, log2_bits=bits)
         assert sorted(r.least for r in copies.collect() if r.least) == [1, 5, 8] and rows.count() == len(CASES)
+
+# Language identification ----------------------------------------------------
+
+
+def plain_viterbi(scores, begin, penalty):
+    value, back = list(begin), []
+    for row in scores:
+        best = [max(range(len(value)), key=lambda j: value[j] - penalty * (j != i) + 1e-12 * (j == i)) for i in range(len(value))]
+        value = [value[j] - penalty * (j != i) + row[i] for i, j in enumerate(best)]
+        back.append(best)
+    out = [max(range(len(value)), key=value.__getitem__)]
+    for best in reversed(back[1:]):
+        out.append(best[out[-1]])
+    return out[::-1]
+
+
+def test_viterbi_of_many_texts_is_that_of_each():
+    rng = np.random.default_rng(1)
+    lengths = [0, 3, 40, 1, 17, 0, 40]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    scores, begin = -rng.exponential(2, (first[-1], 4)), -rng.exponential(1, (len(lengths), 4))
+    labels = language.viterbi(scores, first, begin, 3.0)
+    for i, n in enumerate(lengths):
+        if n:
+            assert labels[first[i] : first[i + 1]].tolist() == plain_viterbi(scores[first[i] : first[i + 1]], begin[i], 3.0)
+
+
+def test_words_are_scored_by_their_ngrams_alone():
+    text = "Straße ÉTÉ naïve straße été"
+    points = language.lowered(language.code_points(text))
+    starts, ends = language.cut_words(language.scripts_of_letters()[points], np.zeros(0, np.int64))
+    assert [text[a:b] for a, b in zip(starts, ends)] == text.split()
+    h = language.word_hashes(points, starts, ends)
+    assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
+    feature, word = language.features(points, starts, ends, 16)
+    each = [Counter(feature[word == i].tolist()) for i in range(5)]
+    n = len("straße")
+    assert each[0] == each[3] and each[1] == each[4] and sum(each[0].values()) == n + (n + 1) + n + (n - 1) + 1
+
+
+@pytest.fixture(scope="module")
+def tongues(spark):
+    words = {"en": "the cat and dog with house that", "fr": "le chat et chien avec maison une", "ru": "и кот в доме это собака"}
+    rows, rng = [], np.random.default_rng(5)
+    for i in range(150):
+        lang = list(words)[i % 3]
+        rows.append((i, " ".join(rng.choice(words[lang].split(), 20)), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), words
+
+
+def test_languages_of_odd_texts_and_spans(spark, tongues, monkeypatch):
+    docs, words = tongues
+    model = language.learn(docs)
+    en, fr, ru = (" ".join([words[x]] * 3) for x in ("en", "fr", "ru"))
+    cases = [None, "", " 12 §% ", en, fr + " ... " + en, ru, "汉字", en + " 汉字", "THE CAT", ("the cat " * 40_000) + "le chat avec une maison", en, en]
+    odd = spark.createDataFrame([(i if i < 10 else 10, t, "x") for i, t in enumerate(cases)] + [(None, ru, None)], "doc_id long, text string, lang_pred string").withColumn("a.b", F.lit(1))
+    found = language.identify(odd, model)
+    assert found.columns == ["doc_id", "text", "a.b", "lang_pred", "lang_score", "lang_spans"]
+    got = {(r.doc_id, r.text): r for r in found.collect()}
+    at = lambda i: got[i, cases[i]]
+    assert [(at(i).lang_pred, at(i).lang_score, at(i).lang_spans) for i in range(3)] == [("und", 0.0, [])] * 3
+    assert [at(i).lang_pred for i in (3, 5, 8, 9)] == ["en", "ru", "en", "en"] and got[None, ru].lang_pred == "ru"
+    assert [(s.lang, s.start, s.end) for s in at(4).lang_spans] == [("fr", 0, len(fr)), ("en", len(fr) + 5, len(cases[4]))]
+    assert at(6).lang_pred in words and at(6).lang_score == 0 and [s.lang for s in at(6).lang_spans] == ["und"]
+    assert [s.lang for s in at(7).lang_spans] == ["en", "und"] and 0 < at(7).lang_score < 1
+    assert [s.lang for s in at(9).lang_spans] == ["en", "fr"] and at(9).lang_spans[1].end == len(cases[9])
+    assert language.identify(odd.limit(0), model).count() == 0 and {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
+    assert language.learn(docs.where("lang is null")) is None
+
+
+def test_long_texts_decode_the_same_in_blocks(spark, tongues, monkeypatch):
+    docs, words = tongues
+    model = language.learn(docs)
+    text = " ".join([words["en"]] * 9 + [words["fr"]] * 9 + [words["ru"]] * 5)
+    whole = list(language.decode([text, None, words["fr"]], model, language.Scorer(model), 4.0))
+    monkeypatch.setattr(language, "BLOCK_CHARS", len(words["en"]) * 3 + 3)
+    assert list(language.decode([text, None, words["fr"]], model, language.Scorer(model), 4.0)) == whole
+
+
+def test_held_out_accuracy_and_no_look_at_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs).collect()}
+    held = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum(found[r.doc_id] == r.lang for r in held) >= 0.98 * len(held)
+    swapped = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "xx").otherwise(F.col("lang")))
+    assert {r.doc_id: r.lang_pred for r in language.predict(swapped).collect()} == found
