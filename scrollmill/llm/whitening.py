@@ -105,9 +105,9 @@ def _total(df: DataFrame, each, bands: int, width: int) -> tuple[np.ndarray, np.
 
     schema = "band int, high array<double>, low array<double>"
     merged = df.mapInArrow(local, schema).repartition("band").mapInArrow(merge, schema)
-    high, low = np.zeros((bands, width)), np.zeros((bands, width))
-    for r in merged.toLocalIterator():
-        high[r.band], low[r.band] = r.high, r.low
+    found = merged.toArrow().combine_chunks()
+    order = np.argsort(found.column("band").to_numpy())
+    high, low = (_matrix(found.column(c).combine_chunks(), width)[order] for c in names[1:])
     return high, low
 
 
@@ -184,10 +184,10 @@ def whiten(embeddings: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     x = materialize(cleaned(embeddings), "whitening-x")
-    d = x.agg(F.max(F.size("x"))).first()[0] or 0
-    x = x.where(F.size("x") == d) if d else x.limit(0)
-    n = x.count()
-    if not n:
+    sizes = x.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("d")).first()
+    d, n = sizes or (0, 0)
+    x = x.where(F.size("x") == d)
+    if not d:
         schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
         return embeddings.sparkSession.createDataFrame([], schema)
     totals = [int(s) for s in sums(x, "x", d)]
