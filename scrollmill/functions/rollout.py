@@ -212,26 +212,38 @@ def _reason(v: Column, t: Column, p: Column) -> Column:
     )
 
 
-def normalised(lines: DataFrame) -> DataFrame:
+#: What session and turn lines set for the lines after them.
+STATE = {"sid": "string", "cwd": "string", "version": "string", "model": "string", "auto": "boolean"}
+
+
+def normalised(lines: DataFrame, before: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """(path, off, raw) to one row per line: ``reason`` why it is left out or
     null, type, sub, kind, ts, blocks, text, msg_id, duration_ms, and the state
-    cwd, version, model, auto. Blank, broken and non-object lines keep a reason.
+    sid, cwd, version, model, auto. Blank, broken and non-object lines keep a reason.
+
+    ``before`` (path and the state) is what earlier batches left of files that
+    these lines go on with: it stands before a file's first line. ``also`` names
+    columns of ``lines`` that stay.
     """
     v, t, p, own = F.col("v"), F.col("t"), F.col("p"), F.concat(F.lit("cx:"), F.col("fid"), F.lit(":"), F.col("off").cast("string"))
     at = lambda path: typed(v, f"$.payload.{path}")
-    parsed = lines.select("path", "off", file_id(F.col("path")).alias("fid"), (F.trim(F.coalesce("raw", F.lit(""))) == "").alias("blank"), F.try_parse_json("raw").alias("v"))
+    parsed = lines.select("path", "off", *also, file_id(F.col("path")).alias("fid"), (F.trim(F.coalesce("raw", F.lit(""))) == "").alias("blank"), F.try_parse_json("raw").alias("v"))
     parsed = parsed.withColumn("t", typed(v, "$.type")).withColumn("p", typed(v, "$.payload.type"))
     bad = F.when(F.col("blank"), "blank").when(v.isNull(), "bad_json").when(~F.schema_of_variant(v).startswith("OBJECT"), "not_object")
 
     meta, turn = t == "session_meta", t == "turn_context"
     mode = F.coalesce((at("source") == "exec"), F.lit(False)) | F.coalesce((at("originator") == "codex_exec"), F.lit(False))
     held = parsed.select(
-        "path", "off", "fid", "v", "t", "p", F.coalesce(bad, _reason(v, t, p)).alias("reason"),
+        "path", "off", *also, "fid", "v", "t", "p", F.coalesce(bad, _reason(v, t, p)).alias("reason"),
         F.when(meta | turn, at("cwd")).alias("s_cwd"), F.when(meta, at("cli_version")).alias("s_version"), F.when(turn, at("model")).alias("s_model"), F.when(meta, mode).alias("s_auto"),
+        F.when(meta, at("id")).alias("s_sid"), F.lit(True).alias("read"),
     )
-    for name in ("cwd", "version", "model", "auto"):
+    if before is not None:
+        kept = before.join(lines.select("path").distinct(), "path", "left_semi")
+        held = held.unionByName(kept.select("path", F.lit(-1).cast("long").alias("off"), *(F.col(c).cast(kind).alias(f"s_{c}") for c, kind in STATE.items()), F.lit(False).alias("read")), allowMissingColumns=True)
+    for name in STATE:
         held = carry(held, "path", ["off"], F.col(f"s_{name}"), name)
-    held = held.withColumn("auto", F.coalesce("auto", F.lit(False)))
+    held = held.where("read").withColumn("auto", F.coalesce("auto", F.lit(False)))
 
     message, role = p == "message", at("role")
     text_block = lambda c: F.array(_block("text", c))
@@ -263,8 +275,8 @@ def normalised(lines: DataFrame) -> DataFrame:
     msg_id = F.when(answered, F.coalesce(F.nullif(at("id"), F.lit("")), own))
     shown = F.array_join(F.filter(F.col("blocks.text"), lambda x: x.isNotNull() & (x != "")), "\n")
     return read.withColumn("kind", F.when(kept, kind)).select(
-        "path", "off", "reason", "kind", F.when(kept, sub).alias("sub"), F.try_to_timestamp(typed(v, "$.timestamp")).alias("ts"), "blocks", shown.alias("text"),
-        F.when(kept, msg_id).alias("msg_id"), F.when(msg_id.isNotNull() & kept, F.col("model")).alias("model"), "cwd", "version", "auto",
+        "path", "off", *also, "reason", "kind", F.when(kept, sub).alias("sub"), F.try_to_timestamp(typed(v, "$.timestamp")).alias("ts"), "blocks", shown.alias("text"),
+        F.when(kept, msg_id).alias("msg_id"), F.when(msg_id.isNotNull() & kept, F.col("model")).alias("model"), "sid", "cwd", "version", F.col("model").alias("state_model"), "auto",
         F.when(p == "task_complete", F.coalesce(F.try_variant_get(v, "$.payload.duration_ms", "long"), F.lit(0))).alias("duration_ms"),
         F.when(kept & meta, typed(v, "$.payload.git.branch")).alias("branch"),
     )
