@@ -1,0 +1,82 @@
+"""Known values under layers of encoding, digests, and the leak scan."""
+
+import hashlib
+import html
+import json
+import urllib.parse
+
+import pytest
+from pyspark.sql import functions as F
+
+from scrollmill.functions import layers, redaction
+from scrollmill.operators import secrets
+
+VALUE = "Zq#8$kT!w&9xY"
+coded = lambda t: "".join(f"\\u{ord(c):04x}" if not c.isalnum() else c for c in t)
+FORMS = {
+    "plain": VALUE, "shell": VALUE.replace("$", "\\$"), "slashes": VALUE.replace("#", "\\\\#").replace("$", "\\\\$"), "url": urllib.parse.quote(VALUE), "url twice": urllib.parse.quote(urllib.parse.quote(VALUE)),
+    "entities": VALUE.replace("#", "&#35;").replace("$", "&#x24;"), "entities twice": html.escape(html.escape(VALUE.replace("#", "&#35;"))), "coded": coded(VALUE), "lines": VALUE[:5] + "\n   " + VALUE[5:],
+    "written lines": VALUE[:5] + "\\n" + VALUE[5:], "doubled": VALUE.replace("$", "$$"), "json of json": json.dumps(json.dumps(VALUE))[1:-1], "url of entities": urllib.parse.quote(html.escape(VALUE)), "in a word": f"ab{VALUE}cd",
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_every_layer(form):
+    text = f"pre \\x é {FORMS[form]} post %zz &no; 10%"
+    masked = layers.Finder([VALUE, "other-value-1"]).mask(text)
+    assert "[REDACTED:known]" in masked and "Zq" not in masked and "9xY" not in masked
+    assert masked.startswith("pre \\x é ") and masked.endswith(" post %zz &no; 10%")
+
+
+def test_fragments_overlaps_and_the_fallback(monkeypatch):
+    f = layers.Finder([VALUE, VALUE[:8] + "other", "abcdefghijkl"])
+    assert f.mask(f"a {VALUE[:11]} b {VALUE} abcdefghij") == "a [REDACTED:known_part] b [REDACTED:known] abcdefghij"
+    assert layers.Finder([]).mask("x") == "x" and layers.Finder(["é漢字Ab1#zz"]).mask("%C3%A9" + coded("漢字") + "Ab1#zz.") == "[REDACTED:known]."
+    monkeypatch.setitem(__import__("sys").modules, "ahocorasick", None)
+    assert layers.Finder([VALUE]).mask(f"{urllib.parse.quote(VALUE)}|{VALUE[:11]}") == "[REDACTED:known]|[REDACTED:known_part]"
+
+
+def test_peeling_goes_back_to_the_right_places():
+    text = "é😁\\ud83d\\ude00%E2%82%AC&amp;amp;\\u0041 \\\\\\n z"
+    rounds = layers.peel(text)
+    assert rounds[-1].text == "é😁😀€&A  z"
+    for i in range(len(rounds[-1].text)):
+        a, b = i, i + 1
+        for r in reversed(rounds):
+            a, b = r.back(a, b)
+        assert 0 <= a < b <= len(text)
+        assert layers.bare(text[a:b]) in (rounds[-1].text[i], "")
+
+
+def test_mask_known_in_blocks_keeps_other_columns(spark, tmp_path):
+    (tmp_path / "known").write_text(f"# comment\n{VALUE}\r\nshort\n\n{VALUE}\nsecond value 22\n")
+    known = secrets.load_known(spark, str(tmp_path / "known"))
+    assert sorted(r.value for r in known.collect()) == sorted([VALUE, "second value 22"])
+    df = spark.createDataFrame([(1, f"x {FORMS['url']} second\\u0020value 22", "k"), (2, None, None), (3, "", "z")], "`a.b` int, t string, value string")
+    for block in (1, 2, 100):
+        assert [tuple(r) for r in secrets.mask_known(df, ["t"], known, block).orderBy("`a.b`").collect()] == [(1, "x [REDACTED:known] [REDACTED:known]", "k"), (2, None, None), (3, "", "z")]
+
+
+def test_digest_prefixes(spark):
+    known, d = spark.createDataFrame([("hunter22",)], "value string"), hashlib.sha1(b"hunter22\n").hexdigest()
+    stored = spark.createDataFrame([(hashlib.md5(b"weak").hexdigest(),)], "digest string")
+    w = hashlib.md5(b"weak").hexdigest()
+    texts = [f"a {d} b {d[:6]} c {d[:5]} e", f"x{d[:8]} {d[:7]}f AB{d[:9]} \\n{d[:10]}, {w[:12]}", None, "", "no token"]
+    want = ["a [REDACTED:known_hash] b [REDACTED:known_hash] c " + d[:5] + " e", f"x{d[:8]} {d[:7]}f AB{d[:9]} \\n[REDACTED:known_hash], [REDACTED:known_hash]", None, "", "no token"]
+    assert d[7] != "f"
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert [r.t for r in secrets.mask_digests(rows, "k", "t", known, stored).orderBy("k").collect()] == want
+
+
+def test_leaks_are_found_under_layers_and_none_after_masking(spark):
+    key = "sk-" + "Zq81" * 7
+    nested = json.dumps({"a": [{"b": "see " + key.replace("-", "\\u002d")}]})
+    tables = {
+        "t": spark.createDataFrame([(1, f"v {FORMS['url twice']}", nested), (2, "mail j%40x.org [REDACTED:known]", None)], "id int, said string, raw string"),
+        "n": spark.createDataFrame([([("password&#61;hunter22",)],)], "x array<struct<y:string>>"), "empty": spark.createDataFrame([(1,)], "i int"),
+    }
+    known = spark.createDataFrame([(VALUE,)], "value string")
+    found = {(r.table, r.field, r.kind): (r.texts, r.hits) for r in secrets.leaks(tables, known).collect()}
+    assert found == {("t", "said", "known"): (1, 1), ("t", "raw", "sk_key"): (1, 1), ("t", "said", "email"): (1, 1), ("n", "x", "pw_kv"): (1, 1)}
+    clean = secrets.mask_known(tables["t"].select("id", redaction.redact(F.col("said")).alias("said")).where("id = 1"), ["said"], known)
+    assert secrets.leaks({"t": clean}, known).count() == 0 and secrets.leaks({"e": tables["empty"]}).count() == 0
