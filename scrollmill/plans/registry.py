@@ -659,4 +659,4 @@ def tz_render(t) -> DataFrame:
     return t("events").select("event_id", text.iso_ms(F.col("ts")).alias("iso"), F.date_format(text.display_time(F.col("ts")), "yyyy-MM-dd HH:mm").alias("shown"))
 
 
-from . import display as _display, lines as _lines, secrets as _secrets, stored as _stored  # noqa: E402, F401  they register their own
+from . import display as _display, lines as _lines, resume as _resume, secrets as _secrets, stored as _stored  # noqa: E402, F401  they register their own
