@@ -46,8 +46,8 @@ def error_line(line: Column) -> Column:
 
 def error_signature(line: Column) -> Column:
     """First 12 hex digits of the normalised line's sha1; null for an empty one."""
-    normal = error_line(line)
-    return F.when(normal != "", F.substring(F.sha1(normal.cast("binary")), 1, 12))
+    # Bound by a lambda, the line is rewritten once a row.
+    return F.get(F.transform(F.array(error_line(line)), lambda n: F.when(n != "", F.substring(F.sha1(n.cast("binary")), 1, 12))), F.lit(0))
 
 
 def capped(text: Column, head: int = 2500, tail: int = 500) -> Column:

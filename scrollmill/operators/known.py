@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redaction import digests, harvested, value_strength
-
-MARK = "[REDACTED:known]"
-#: Words end at blanks, quotes and brackets: a value never holds those.
-BREAK = "[\\s\"'`,;()\\[\\]{}<>]+"
+from .secrets import mask_known
 
 
 def learn(rows: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
@@ -24,16 +21,7 @@ def weak_digests(learned: DataFrame) -> DataFrame:
     return learned.where("strength = 'weak'").select(F.explode(digests(F.col("value"))).alias("digest")).distinct()
 
 
-def mask(rows: DataFrame, key: str, text: str, learned: DataFrame) -> DataFrame:
-    """``rows`` (key, text) with every strong learned value replaced.
-
-    The distinct words of each text are joined to the values, so neither side is
-    broadcast and only texts with a hit are rewritten. A value counts where it is
-    a word, alone or behind a name and an equals sign or colon.
-    """
-    word = rows.select(key, F.explode(F.array_distinct(F.split(F.coalesce(text, F.lit("")), BREAK))).alias("word"))
-    forms = word.select(key, F.explode(F.array_distinct(F.array("word", F.regexp_replace("word", "^[^=:]{1,60}[=:]", "")))).alias("value"))
-    hits = forms.join(learned.where("strength = 'strong'").select("value"), "value").groupBy(F.col(key).alias("__key")).agg(F.collect_set("value").alias("__hits"))
-    longest = F.array_sort(F.col("__hits"), lambda a, b: F.length(b) - F.length(a))
-    masked = F.aggregate(longest, F.col(text), lambda t, v: F.replace(t, v, F.lit(MARK)))
-    return rows.join(hits, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, F.when(F.col("__hits").isNull(), F.col(text)).otherwise(masked)).drop("__key", "__hits")
+def mask(rows: DataFrame, text: str, learned: DataFrame) -> DataFrame:
+    """``rows`` with every strong learned value replaced wherever it stands, under
+    any encoding, and its long fragments with it."""
+    return mask_known(rows, [text], learned.where("strength = 'strong'").select("value"))

@@ -14,7 +14,7 @@ from ..functions.display import one_line
 
 def tokens(query: str) -> list[str]:
     """Words of a query without outer punctuation, first of each in lower case."""
-    return list(dict.fromkeys(t for w in query.lower().split() if (t := w.strip(".,;:!?()[]{}\"'`"))))
+    return list(dict.fromkeys(t for w in query.lower().split() if (t := w.strip(".,;:!?()[]{}<>\"'`"))))
 
 
 #: Particles and endings of Korean words.

@@ -148,7 +148,8 @@ def cls_error_normalize(t) -> DataFrame:
 
 @query(f"select substr(sha1(line), 1, 12) as sig, count(*) as n from (select {_duck_error_line('text')} as line from documents) where line <> '' group by 1")
 def cls_error_sig(t) -> DataFrame:
-    return t("documents").select(text.error_signature(F.col("text")).alias("sig")).where("sig is not null").groupBy("sig").agg(F.count("*").alias("n"))
+    # A test of the signature itself would be pushed down and work it out again.
+    return t("documents").select(text.error_signature(F.col("text")).alias("sig")).groupBy("sig").agg(F.count("sig").alias("n")).where("n > 0")
 
 
 @query("select doc_id, sha1(case when length(text) > 3000 then substr(text, 1, 2500) || chr(10) || '…' || chr(10) || right(text, 500) else text end) as body_sha from documents")
@@ -331,7 +332,7 @@ def red_harvest_two_pass(t) -> DataFrame:
     value = F.concat(F.lit("Zq8w"), F.col("doc_id").cast("string"), F.lit("xK9"))
     learned = known.learn(d.select(F.concat(F.lit("password="), value).alias("line")), "line")
     lines = d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" again "), value, F.lit(" end")).alias("line"))
-    return known.mask(lines, "doc_id", "line", learned).select("doc_id", F.sha1(F.col("line").cast("binary")).alias("line_sha"))
+    return known.mask(lines, "line", learned).select("doc_id", F.sha1(F.col("line").cast("binary")).alias("line_sha"))
 
 
 # Audit -------------------------------------------------------------------

@@ -57,7 +57,7 @@ def test_diversify_caps_then_backfills(spark):
 
 
 def test_tokens():
-    assert search.tokens('Foo, "bar" foo (baz)') == ["foo", "bar", "baz"]
+    assert search.tokens('Foo, "bar" foo (baz) <qux>') == ["foo", "bar", "baz", "qux"]
 
 
 def test_appended_files(spark, tmp_path):
