@@ -86,9 +86,12 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int = 1 << 25) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int = 1 << 25, max_text: int = 1 << 18) -> DataFrame:
     """(doc_id, text, label): at most ``max_rows`` labelled training rows of at
-    most ``max_bytes`` of text together.
+    most ``max_bytes`` of text together, none of more than ``max_text`` bytes.
+
+    Longer texts are left out of the sample, so no text can push the others out:
+    at least max_bytes / max_text rows fit. They are scored whole like any other.
 
     Held-out rows (crc32 of the id mod 5 is 0) never enter. The sample holds the
     ids of smallest hash, so it is the same on every run; an id that repeats
@@ -105,7 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(max_rows)
     )
-    own = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_text)
     met = own.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.max("label").alias("label"))
     rows = materialize(met.select(F.col("__id").alias("doc_id"), F.col("t.text").alias("text"), "label", F.octet_length("t.text").alias("bytes")), "sample")
     # One row an id of the bounded sample: the window sees ids and sizes only.

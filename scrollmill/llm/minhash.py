@@ -155,15 +155,10 @@ def fingerprints_with_edits(docs: DataFrame, partitions: int | None = None) -> D
     return ranges.mapInArrow(run, _ROW)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
-    """(a, b, jaccard): all found pairs of different texts at or over ``threshold``,
-    named by their smallest doc_ids, a < b.
-
-    Texts of equal shingle sets are one class first, so copies never multiply.
-    Signature bands (four values each) are joined in Spark, and each candidate's
-    Jaccard likeness is verified exactly on its shingle hashes. At 0.8, bands
-    miss a pair with a probability under 1e-7.
-    """
+def _classes(docs: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id and class key of every row, and for each key its
+    shingle set, bands and smallest doc_id. The key is a digest of the set: texts
+    of one class have equal sets, whatever their ids are."""
     rows = PERMUTATIONS // bands
 
     def run(batches):
@@ -173,43 +168,59 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) ->
             sets = [np.unique(s) for s in np.split(x, np.cumsum(counts)[:-1])]
             sig = signatures(data, at)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())),
+                [piece.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()),
+                 pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())),
                  pa.array([[r.tobytes().hex() for r in row.reshape(bands, rows)] for row in sig], pa.list_(pa.string()))],
-                ["doc_id", "grams", "bands"])
+                ["doc_id", "key", "grams", "bands"])
 
-    made = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, grams array<long>, bands array<string>")
-    classes = materialize(made.groupBy("grams").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "minhash-classes")
-    keys = classes.where(F.size("grams") > 0).select("id", F.posexplode("bands").alias("band", "key"))
-    pairs = keys.alias("x").join(keys.alias("y").hint("merge"), ["band", "key"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    grams = lambda c: classes.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    made = materialize(texts.mapInArrow(run, "doc_id long, key string, grams array<long>, bands array<string>"), "minhash-rows")
+    classes = made.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    return made.select("doc_id", "key"), materialize(classes, "minhash-classes")
+
+
+def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard): keys of classes whose sets are that alike, a < b."""
+    keys = classes.where(F.size("grams") > 0).select("key", F.posexplode("bands").alias("band", "value"))
+    met = keys.alias("x").join(keys.alias("y").hint("merge"), ["band", "value"]).where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    grams = lambda c: classes.select(F.col("key").alias(c), F.col("grams").alias(f"grams_{c}"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
-    return (
-        pairs.join(grams("a"), "a").join(grams("b"), "b")
-        .select("a", "b", (both / (F.size("grams_a") + F.size("grams_b") - both)).alias("jaccard"))
-        .where(F.col("jaccard") >= threshold)
-    )
+    likeness = both / (F.size("grams_a") + F.size("grams_b") - both)
+    return met.join(grams("a"), "a").join(grams("b"), "b").select("a", "b", likeness.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
+    """(a, b, jaccard): all found pairs of different texts at or over ``threshold``,
+    named by the smallest doc_ids of their texts, a <= b.
+
+    Texts of equal shingle sets are one class first, so copies and repeated rows
+    never multiply. Signature bands (four values each) are joined in Spark, and each
+    candidate's Jaccard likeness is verified exactly on its shingle hashes. At 0.8,
+    bands miss a pair with a probability under 1e-7. Two unlike texts of one doc_id
+    are a pair of that id with itself; a text of rows without an id has the name
+    null, which stands first. Null and empty texts, and texts without words, have no
+    pair; other columns are ignored; an empty table gives an empty result. A text's
+    shingle set is held by its task as a whole.
+    """
+    _, classes = _classes(docs, bands)
+    ids = lambda c: classes.select(F.col("key").alias(c), F.col("id").alias(f"id_{c}"))
+    named = _pairs(classes, threshold).join(ids("a"), "a").join(ids("b"), "b")
+    first = F.when(F.col("id_a").isNotNull() & F.col("id_b").isNotNull(), F.least("id_a", "id_b"))
+    return named.select(first.alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")
 
 
 def memberships(docs: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text).
 
-    class_id names the class of equal shingle sets by its smallest doc_id, and
-    n_links counts the pairs of ``near_duplicates`` that the class is part of.
-    Rows without a doc_id belong to their text's class; one of such rows alone
-    has no name (null) and no links. Texts without words are one class, without
-    links.
+    class_id names the class of equal shingle sets by its smallest doc_id (null if
+    no row of it has one), and n_links counts the classes that are near to it, those
+    of rows without an id and those that share its doc_id among them. Repeated rows
+    are rows of one class. Null and empty texts and texts without words are one
+    class, without links; other columns are ignored; an empty table gives an empty
+    result.
     """
-
-    def run(batches):
-        for piece in pieces(batches):
-            x, counts = shingles(*column(piece.column("text")))
-            keys = [hashlib.blake2b(np.unique(s).tobytes(), digest_size=16).hexdigest() for s in np.split(x, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(keys, pa.string())], ["doc_id", "key"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(texts.mapInArrow(run, "doc_id long, key string"), "minhash-rows")
-    named = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("class_id")), "minhash-names")
-    pairs = materialize(near_duplicates(docs, threshold, bands), "minhash-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    names = named.join(ends, "class_id", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows, classes = _classes(docs, bands)
+    pairs = materialize(_pairs(classes, threshold), "minhash-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    names = classes.select("key", F.col("id").alias("class_id")).join(ends, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows.join(names, "key").select("doc_id", "class_id", "n_links")

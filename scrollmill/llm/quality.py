@@ -114,7 +114,7 @@ class AttentionModel:
         return self.forward(x, begin)[-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_rows: int) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, max_train_rows: int, max_train_bytes: int = 1 << 25, max_train_text: int = 1 << 18) -> AttentionModel:
     """Fit on passage features of a sample that ``max_train_rows`` bounds."""
 
     def run(batches):
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int) -> AttentionM
             bags = [x[i:j].ravel() for i, j in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(bags, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    sample = labelled_sample(docs, labels, "quality", max_train_rows)
+    sample = labelled_sample(docs, labels, "quality", max_train_rows, max_train_bytes, max_train_text)
     rows = sample.mapInArrow(run, "doc_id long, label double, x array<double>").toArrow().sort_by([("doc_id", "ascending")])
     width = passages(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
     model = AttentionModel(width)
@@ -135,10 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int) -> AttentionM
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 5_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 5_000, max_train_bytes: int = 1 << 25, max_train_text: int = 1 << 18) -> DataFrame:
     """All columns of ``docs`` plus ``quality``: the probability of label 1.
 
-    Held-out rows (crc32 of the id mod 5 is 0) are never learned from. Null and
+    Held-out rows (crc32 of the id mod 5 is 0) are never learned from, and at most
+    ``max_train_bytes`` of text of texts up to ``max_train_text`` bytes is. Null and
     empty texts are one passage without features; repeated rows score alike; a
     very long text is one piece of its task. Without labels the untrained model's
     scores are near one half. A column ``quality`` of the caller's is replaced,
@@ -146,7 +147,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 5_000) -> Da
     pass in pieces, no shuffle.
     """
     docs = docs.drop("quality")
-    model = train(docs, labels, max_train_rows)
+    model = train(docs, labels, max_train_rows, max_train_bytes, max_train_text)
     # The row rides along as one struct, whatever its columns are called.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 

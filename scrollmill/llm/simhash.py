@@ -124,10 +124,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows stay once; rows of one id with unlike texts are judged by themselves. All
     columns stay; null texts count as empty; an empty table gives itself.
     """
-    # Two columns without nulls name a row: they join, and later tell repeats.
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__key", F.xxhash64("text", F.col("doc_id").isNull()))
-    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
-    rows = materialize(fingerprints(named, "__id", "__key"), "fingerprints")
+    # The row rides along as one struct, so no name in it can clash; two columns
+    # without nulls name it: they join, and later tell repeats.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    named = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("key"), "doc_id", "text")
+    best = F.struct((F.col("doc_id").isNull()).alias("none"), "id", "key")
+    rows = materialize(fingerprints(named, "id", "key"), "fingerprints")
     linked = roots(materialize(rows.groupBy("fp").agg(F.min(best).alias("best")), "classes"))
-    kept = materialize(linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key")), "kept")
-    return named.join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = materialize(linked.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.key"), "kept")
+    return named.select("row", "id", "key").join(kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("row.*")

@@ -165,12 +165,13 @@ def with_features(df: DataFrame, lexicon: list[str], stems: list[str]) -> DataFr
     return df.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_000, trees: int = 15, depth: int = 3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_000, max_train_bytes: int = 1 << 25, max_train_text: int = 1 << 18, trees: int = 15, depth: int = 3) -> DataFrame:
     """All columns of ``docs`` plus ``toxicity``, a calibrated probability.
 
     Lexicon and trees learn from three quarters of a bounded sample of
-    ``max_train_rows`` labelled rows, the isotonic calibration from the rest,
-    which neither has seen; held-out rows (crc32 of the id mod 5 is 0) take no
+    ``max_train_rows`` labelled rows (``max_train_bytes`` of text together, texts up
+    to ``max_train_text`` bytes each), the isotonic calibration from the rest, which
+    neither has seen; with fewer than ten rows of a label in that rest, from all; held-out rows (crc32 of the id mod 5 is 0) take no
     part. Null and empty texts have zero features and the score that follows;
     repeated rows score alike; a very long text is one piece of its task. Without
     labels of both kinds every row scores the share of toxic labels (0 if there
@@ -178,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = 10_000, tree
     may occur; an empty table gives an empty result.
     """
     docs = docs.drop("toxicity")
-    sample = materialize(labelled_sample(docs, labels, "toxic", max_train_rows), "toxic-sample")
+    sample = materialize(labelled_sample(docs, labels, "toxic", max_train_rows, max_train_bytes, max_train_text), "toxic-sample")
     calibration = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
     kinds = {(r.c, r.label): r["count"] for r in sample.groupBy(calibration.alias("c"), "label").count().collect()}
     if any(not kinds.get((False, y)) for y in (0.0, 1.0)):

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrollmill.llm import audit, language, whitening
+import corpus_pipeline
+from scrollmill.llm import audit, common, language, minhash, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,3 +199,48 @@ def test_held_out_accuracy_and_no_look_at_labels(spark):
     assert sum(found[r.doc_id] == r.lang for r in held) >= 0.98 * len(held)
     swapped = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, "xx").otherwise(F.col("lang")))
     assert {r.doc_id: r.lang_pred for r in language.predict(swapped).collect()} == found
+
+# Mended parts ------------------------------------------------------------------
+
+
+def test_one_long_text_does_not_empty_the_sample(spark):
+    train = sorted((i for i in range(200) if zlib.crc32(str(i).encode()) % 5), key=lambda i: i)
+    docs = spark.createDataFrame([(i, "x" * 5000 if k % 7 == 0 else f"short {i}") for k, i in enumerate(train)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, "quality", 1000, max_bytes=100_000, max_text=1000).collect()
+    assert {r.doc_id for r in got} == {i for k, i in enumerate(train) if k % 7}
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    def base(seed):
+        return [f"{seed}w{i}" for i in range(60)]
+
+    def near(words, i):
+        return " ".join([*words[:i], "changed", *words[i + 1 :]])
+
+    one, two = base("a"), base("b")
+    rows = [(7, near(one, 0)), (7, near(two, 0)), (9, near(one, 59)), (9, near(two, 59)), (5, " ".join(base("c"))), (5, near(base("c"), 59)), (None, near(base("d"), 0)), (3, near(base("d"), 59)), (None, None), (8, ""), (7, near(one, 0)), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+
+    def grams(t):
+        w = (t or "").split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {grams(t) for _, t in rows}
+    like = {s: sum(1 for o in sets if o != s and s and o and len(s & o) / len(s | o) >= 0.8) for s in sets}
+    least = {s: min((i for i, t in rows if grams(t) == s and i is not None), default=None) for s in sets}
+    want = Counter((i, least[grams(t)], like[grams(t)]) for i, t in rows)
+    assert Counter(tuple(r) for r in minhash.memberships(docs).collect()) == want and max(like.values()) == 1
+    assert sorted((r.a, r.b) for r in minhash.near_duplicates(docs).where("a is not null").collect()) == [(5, 5), (7, 9), (7, 9)]
+    assert [(r.a, r.b) for r in minhash.near_duplicates(docs).where("a is null").collect()] == [(None, 3)]
+    assert minhash.memberships(docs.limit(0)).count() == 0
+
+
+def test_stages_keep_values_of_any_columns(spark):
+    odd = "doc_id long, text string, lang string, source string, n_chars long, spans string, toxicity double, __id long, __key string, row int, `a.b` int, shard long"
+    rows = [(1, None, None, None, None, "p", 0.1, 2, "k", 5, 6, 7), (2, "write to a@b.org", "en", "s", 16, "q", 0.9, 3, "l", 8, 9, 1), (2, "write to a@b.org", "en", "s", 16, "q", 0.9, 3, "l", 8, 9, 1)]
+    df = spark.createDataFrame(rows, odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = {tuple(r) for r in stage(spark, df, SF).collect()}
+        keep = {(r[0], "write to [EMAIL]" if name == "pii" and r[1] else r[1], r[2], r[3], *r[4:]) for r in rows}
+        assert got == keep, name
