@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..operators import history, names, rederive, resume
+from ..operators import changes, history, names, rederive, resume
 from ..streaming.store import Store, scratch
 from .registry import query
 
@@ -100,3 +100,18 @@ def red_retro(t) -> DataFrame:
     learned = d.where("doc_id % 11 = 0").select(value.alias("value"), F.lit("strong").alias("strength"))
     rederive.retro(store, ["text"], learned, "late", 0)
     return store.read().select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_sha"), F.col("text").contains("[REDACTED:known] end").alias("changed"))
+
+
+@query("""
+with f as (
+    select source as project, doc_id, n_chars as size, 1700000000 + doc_id * 97 % 20000 as at, doc_id % 3 = 0 as same from documents),
+n as (select * from f where not same and at > 1700006000 and at >= 1700015000 - 9000 and at <= 1700015000 + 60),
+r as (select *, row_number() over (partition by project order by at desc, 's' || doc_id) as place, count(*) over (partition by project) as found from n)
+select project, 's' || doc_id as sid, at as changed_at, place, greatest(found - 5, 0) as beyond from r where place <= 5""")
+def pending_changed_files(t) -> DataFrame:
+    """Documents as session files: what changed since a collection, by project."""
+    at = lambda n: F.timestamp_seconds(n if not isinstance(n, int) else F.lit(n))
+    d = t("documents").select(F.col("source").alias("project"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("sid"), F.col("n_chars").alias("size"), at(F.lit(1700000000) + F.col("doc_id") * 97 % 20000).alias("mtime"), "doc_id")
+    known = d.where("doc_id % 3 < 2").select("path", (F.col("size") + F.col("doc_id") % 3).alias("size"))
+    found = changes.pending(d.drop("doc_id"), known, at(1700015000), at(1700006000))
+    return found.select("project", "sid", F.unix_seconds("mtime").alias("changed_at"), F.col("place").cast("long").alias("place"), F.col("beyond").cast("long").alias("beyond"))
