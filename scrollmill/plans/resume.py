@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import display
-from ..operators import changes, history, names, rederive, resume
+from ..operators import changes, history, names, rederive, resume, show
 from ..streaming.store import Store, scratch
 from .registry import query
 
@@ -104,10 +104,10 @@ def red_retro(t) -> DataFrame:
 
 @query("""
 with f as (
-    select source as project, doc_id, n_chars as size, 1700000000 + doc_id * 97 % 20000 as at, doc_id % 3 = 0 as same from documents),
-n as (select * from f where not same and at > 1700006000 and at >= 1700015000 - 9000 and at <= 1700015000 + 60),
-r as (select *, row_number() over (partition by project order by at desc, 's' || doc_id) as place, count(*) over (partition by project) as found from n)
-select project, 's' || doc_id as sid, at as changed_at, place, greatest(found - 5, 0) as beyond from r where place <= 5""")
+    select source as project, doc_id, n_chars as size, 1700000000 + doc_id * 97 % 20000 as moved, doc_id % 3 = 0 as same from documents),
+n as (select * from f where not same and moved > 1700006000 and moved >= 1700015000 - 9000 and moved <= 1700015000 + 60),
+r as (select *, row_number() over (partition by project order by moved desc, 's' || doc_id) as place, count(*) over (partition by project) as found from n)
+select project, 's' || doc_id as sid, moved as changed_at, place, greatest(found - 5, 0) as beyond from r where place <= 5""")
 def pending_changed_files(t) -> DataFrame:
     """Documents as session files: what changed since a collection, by project."""
     at = lambda n: F.timestamp_seconds(n if not isinstance(n, int) else F.lit(n))
@@ -115,3 +115,25 @@ def pending_changed_files(t) -> DataFrame:
     known = d.where("doc_id % 3 < 2").select("path", (F.col("size") + F.col("doc_id") % 3).alias("size"))
     found = changes.pending(d.drop("doc_id"), known, at(1700015000), at(1700006000))
     return found.select("project", "sid", F.unix_seconds("mtime").alias("changed_at"), F.col("place").cast("long").alias("place"), F.col("beyond").cast("long").alias("beyond"))
+
+
+@query("""
+select case doc_id % 3 when 0 then 'd:m/' || doc_id when 1 then '문서 m/' || doc_id else '[m/' || doc_id || ']' end as asked,
+    sha1('# 문서 m/' || doc_id || chr(10) || '- 종류 memory · 프로젝트 ' || coalesce(nullif(source, ''), '-') || ' · 갱신 1970-01-01 09:00 KST' || chr(10) || chr(10) || coalesce(nullif(text, ''), '(본문 없음)')) as shown_sha
+from documents
+union all
+select conv_id || '/' || turn, sha1('# 행 ' || conv_id || '/' || turn || chr(10) || '- 종류 ' || role || ' · 1970-01-01 09:00 KST · 프로젝트 - · 세션 ' || conv_id || ' · 원천 ' || case when conv_id % 2 = 0 then 'session' else '-' end || chr(10) || chr(10) || coalesce(nullif(text, ''), '(본문 없음)'))
+from conversations""")
+def show_by_key(t) -> DataFrame:
+    """Whole documents and lines, by three forms of a key."""
+    d, c = t("documents"), t("conversations")
+    path = F.concat(F.lit("m/"), F.col("doc_id").cast("string"))
+    asked = d.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d:"), path)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("문서 "), path)).otherwise(F.concat(F.lit("["), path, F.lit("]"))).alias("asked"))
+    key, sid = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.col("conv_id").cast("string")
+    zero = F.lit(0).cast("timestamp")
+    events = c.select(key.alias("key"), sid.alias("fid"), F.col("role").alias("kind"), F.lit(None).cast("string").alias("kind_sub"), zero.alias("ts"), F.lit(None).cast("string").alias("project"), sid.alias("sid"), "text")
+    files = events.where("cast(fid as long) % 2 = 0").select("fid", F.lit("session").alias("kind"))
+    docs = d.select(path.alias("path"), F.lit("memory").alias("kind"), F.col("source").alias("project"), zero.alias("updated"), "text")
+    none = "key string, sid string, project string, start_ts timestamp, end_ts timestamp, dur_s double, human string, last_answer string, n_tools long, files array<string>, cmds array<string>, n_err long, human_kind string, delivered int"
+    found = show.show(asked.unionByName(events.select(F.col("key").alias("asked"))), d.sparkSession.createDataFrame([], none), events, files, docs, "Asia/Seoul", "-h")
+    return found.select("asked", F.sha1(F.col("text").cast("binary")).alias("shown_sha"))
