@@ -46,6 +46,8 @@ WORD_LETTERS = 24
 BLOCK_CHARS = 1 << 18
 #: Languages learned, the most frequent ones; it bounds the model.
 MAX_LANGUAGES = 256
+#: Text that is decoded together: many texts share each step of the Viterbi loop.
+PIECE_BYTES = 1 << 21
 _MADE = ["lang_pred", "lang_score", "lang_spans"]
 SPANS = "array<struct<lang:string,start:long,end:long>>"
 
@@ -342,7 +344,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 4.0) -> Data
     def run(batches):
         known = shared.value
         scorer = Scorer(known)
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE_BYTES):
             found = list(decode(piece.column("text").to_pylist(), known, scorer, penalty))
             spans = pa.array([[dict(zip(("lang", "start", "end"), s, strict=True)) for s in x[2]] for x in found], kinds)
             yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], ["row", *_MADE])
