@@ -157,26 +157,42 @@ def fingerprints_with_edits(docs: DataFrame, partitions: int | None = None) -> D
 
 def _classes(docs: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): doc_id and class key of every row, and for each key its
-    shingle set, bands and smallest doc_id. The key is a digest of the set: texts
-    of one class have equal sets, whatever their ids are."""
-    rows = PERMUTATIONS // bands
+    shingle set, bands (a long each) and smallest doc_id. The key is a digest of the
+    set: texts of one class have equal sets, whatever their ids are.
 
-    def run(batches):
+    Rows are stored without their sets, and sets are shuffled for one row of each
+    class and task: copies cost nothing but their own pass.
+    """
+    each = PERMUTATIONS // bands
+    key = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+
+    def sets(data, at):
+        x, counts = shingles(data, at)
+        return [np.unique(s) for s in np.split(x, np.cumsum(counts)[:-1])]
+
+    def name(batches):
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([key(s) for s in sets(*column(piece.column("text")))], pa.string())], ["doc_id", "key"])
+
+    def describe(batches):
+        seen: set[str] = set()
         for piece in pieces(batches):
             data, at = column(piece.column("text"))
-            x, counts = shingles(data, at)
-            sets = [np.unique(s) for s in np.split(x, np.cumsum(counts)[:-1])]
-            sig = signatures(data, at)
+            found, sig = sets(data, at), signatures(data, at)
+            keys = [key(s) for s in found]
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            if len(seen) > 1 << 20:  # bounds the memory; a class told twice is merged below
+                seen.clear()
+            own = [[hash_of(r.tobytes()) for r in sig[i].reshape(bands, each)] for i in new]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()),
-                 pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array([[r.tobytes().hex() for r in row.reshape(bands, rows)] for row in sig], pa.list_(pa.string()))],
-                ["doc_id", "key", "grams", "bands"])
+                [pa.array([keys[i] for i in new], pa.string()), pa.array([found[i].astype(np.int64) for i in new], pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], ["key", "grams", "bands"])
 
+    hash_of = lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    made = materialize(texts.mapInArrow(run, "doc_id long, key string, grams array<long>, bands array<string>"), "minhash-rows")
-    classes = made.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
-    return made.select("doc_id", "key"), materialize(classes, "minhash-classes")
+    rows = materialize(texts.mapInArrow(name, "doc_id long, key string"), "minhash-rows")
+    told = texts.select("text").mapInArrow(describe, "key string, grams array<long>, bands array<long>").groupBy("key").agg(F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    ids = rows.groupBy("key").agg(F.min("doc_id").alias("id"))
+    return rows, materialize(told.join(ids, "key"), "minhash-classes")
 
 
 def _pairs(classes: DataFrame, threshold: float) -> DataFrame:
