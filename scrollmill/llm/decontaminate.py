@@ -3,8 +3,9 @@
 Any span of 13 words holds seven k-grams of seven words. A document keeps the
 smallest k-gram hash of every seven in a row; whatever 13 words it shares with a
 benchmark item, that hash is one of the item's k-grams, so joining the two never
-misses. Candidates are then extended: every 13-word window of the item is looked
-for in the document, and overlapping hits are merged to spans. An item of fewer
+misses. A hit is then extended: each window that kept the hash is looked up, word
+for word, among the windows of the items, and overlapping windows are merged to
+spans. Items are attached last, to a document's distinct windows. An item of fewer
 words is one window; n-grams of just the lengths that occur are joined for those.
 """
 
@@ -31,51 +32,73 @@ def _grams(size: int) -> str:
     return f"if(size(hashes) < {size}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {size}), i -> xxhash64({size}, {run})))"
 
 
-def _winnowed() -> str:
+def _hashed(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def _kept() -> str:
+    """SQL for what winnowing keeps: the smallest gram hash of each window, in order."""
     keep = WINDOW - GRAM + 1
     window = ", ".join(f"grams[i + {k}]" for k in range(keep))
-    return f"if(size(grams) < {keep}, cast(array() as array<bigint>), array_distinct(transform(sequence(0, size(grams) - {keep}), i -> least({window}))))"
+    return f"if(size(grams) < {keep}, cast(array() as array<bigint>), transform(sequence(0, size(grams) - {keep}), i -> least({window})))"
 
 
-def _hashed(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def _prints(hashes: str, length: int) -> str:
+    """SQL for the fingerprints of the windows of ``length`` words: (key, length,
+    first, last). Neighbours of one hash are one fingerprint; ``first`` and
+    ``last`` are the starts, from 1, of the windows that kept it."""
+    heads = f"filter(sequence(1, size({hashes})), i -> i = 1 or {hashes}[i - 1] != {hashes}[i - 2])"
+    run = f"named_struct('key', {hashes}[at - 1], 'length', {length}, 'first', at, 'last', coalesce(get(heads, k + 1) - 1, size({hashes})))"
+    none = "cast(array() as array<struct<key: bigint, length: int, first: int, last: int>>)"
+    # The array of heads is bound once: each run looks at the next one's start.
+    return f"if(size({hashes}) = 0, {none}, transform(array({heads}), heads -> transform(heads, (at, k) -> {run}))[0])"
 
 
-def _windows(length: str) -> str:
-    return f"transform(sequence(1, size(words) - {length} + 1), i -> array_join(slice(words, i, {length}), ' '))"
+def _windows(first: str, last: str, length: str) -> str:
+    return f"transform(sequence({first}, {last}), i -> array_join(slice(words, i, {length}), ' '))"
 
 
-def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, text_key, item_id, starts, length): where windows of items occur.
+def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Where windows of items occur, (doc_id, text_key, start, length, window), and
+    the items that hold each, (window, item_id), an item without an id left out.
 
     ``text_key`` is a hash of the text; with doc_id it names the row (repeated
     rows share their result). The items' fingerprints are broadcast up to
-    ``broadcast_rows`` of them; beyond, they are joined by a shuffle.
+    ``broadcast_rows`` of them; beyond, they are joined by a shuffle. A document
+    meets fingerprints and windows, not items: however many items share a passage,
+    its words are looked at once.
     """
     bench = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    bench = materialize(bench.withColumn("length", F.least(F.lit(WINDOW), F.size("words"))).withColumn("item", F.xxhash64("item_id", "words")), "bench").dropDuplicates(["item"])
-    bench = materialize(bench, "bench")
-    short = [r.length for r in bench.where(F.col("length") < WINDOW).select("length").distinct().collect()]  # at most 12
-    own_length = " ".join(f"when length = {n} then {_grams(n)}" for n in sorted(short))
-    keys = bench.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).select("item", F.expr(f"case {own_length} when length = {WINDOW} then {_grams(GRAM)} end").alias("keys"))
-    keys = materialize(keys.select("item", F.explode(F.array_distinct("keys")).alias("key")), "bench-keys")
+    bench = materialize(bench.withColumn("length", F.least(F.lit(WINDOW), F.size("words"))), "bench")
+    held = materialize(bench.select("item_id", "length", F.explode(F.expr(_windows("1", "size(words) - length + 1", "length"))).alias("window")).distinct(), "bench-windows")
+    windows = held.select("window", "length").distinct()
+    short = sorted(r.length for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())  # at most 12
+    own_length = " ".join(f"when length = {n} then {_grams(n)}" for n in short)
+    keys = windows.withColumn("hashes", F.transform(F.split("window", " "), lambda w: F.xxhash64(w)))
+    keys = keys.select(F.explode(F.expr(f"case {own_length} when length = {WINDOW} then {_grams(GRAM)} end")).alias("key")).distinct()
+    keys = materialize(keys, "bench-keys")
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    prints = named.select("doc_id", "text_key", _hashed(F.col("text")).alias("hashes")).withColumn("grams", F.expr(_grams(GRAM)))
-    wanted = ", ".join([_winnowed(), *(f"array_distinct({_grams(n)})" for n in sorted(short))])
-    prints = prints.select("doc_id", "text_key", F.explode(F.expr(f"flatten(array({wanted}))")).alias("key"))
+    prints = named.select("doc_id", "text_key", _hashed(F.col("text")).alias("hashes")).withColumn("grams", F.expr(_grams(GRAM))).withColumn("kept", F.expr(_kept()))
+    for n in short:
+        prints = prints.withColumn(f"of_{n}", F.expr(_grams(n)))
+    wanted = ", ".join([_prints("kept", WINDOW), *(_prints(f"of_{n}", n) for n in short)])
+    # Outer, as the optimiser filters on what a plain explode is given: that filter
+    # would work out the whole expression once more, with nothing of it bound.
+    prints = prints.select("doc_id", "text_key", F.explode_outer(F.expr(f"flatten(array({wanted}))")).alias("p")).select("doc_id", "text_key", "p.*").where("key is not null")
     side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys.hint("merge")
-    candidates = materialize(prints.join(side, "key").select("doc_id", "text_key", "item").distinct(), "candidates")
+    met = prints.join(side, "key", "left_semi").select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), F.struct("length", "first", "last").alias("run"))
+    met = materialize(met.groupBy("c_id", "c_key").agg(F.collect_set("run").alias("runs")), "candidates")
 
-    # Repeats of a row have one result: their text is looked at once.
-    wanted_rows = candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).distinct()
+    # A hit is extended to the windows that kept its hash, each looked up whole. Runs
+    # of a text don't overlap; repeats of a row have one result and are looked at once.
     same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))
-    whole = named.join(wanted_rows, same, "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
-    at = candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "item")
-    met = whole.join(at, same).select("doc_id", "text_key", "item", words(F.col("text")).alias("words"))
-    bench_windows = bench.select("item", "item_id", "length", F.expr(_windows("length")).alias("windows"))
-    found = F.expr("filter(sequence(1, size(words) - length + 1), i -> array_contains(windows, array_join(slice(words, i, length), ' ')))")
-    return met.join(bench_windows, "item").where("size(words) >= length").select("doc_id", "text_key", "item_id", found.alias("starts"), "length").where(F.size("starts") > 0)
+    whole = named.join(met, same).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    near = whole.select("doc_id", "text_key", words(F.col("text")).alias("words"), F.explode("runs").alias("run"))
+    near = near.select("doc_id", "text_key", "run", F.posexplode_outer(F.expr(_windows("run.first", "run.last", "run.length"))).alias("k", "window"))
+    near = near.select("doc_id", "text_key", (F.col("run.first") + F.col("k")).alias("start"), F.col("run.length").alias("length"), "window")
+    found = materialize(near.join(windows, ["window", "length"], "left_semi"), "hits")
+    return found, held.where("item_id is not null").select("window", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -86,18 +109,18 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     if its hits are a twentieth of its words or more. Null and empty texts have
     no words; items without words are no windows; items without an id hit but
     are not listed; rows that repeat give the same result each; a very long text
-    is looked through by one task; other columns are ignored; an empty table of
+    is hashed by one task, in time linear in its words; other columns are ignored; an empty table of
     documents gives an empty result, one of items no hits.
     """
-    spans = F.expr("transform(starts, s -> named_struct('start', s, 'end', s + length))")
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
     # Overlaps count once: walk the spans by start, adding what lies past the end so far.
     covered = F.expr("aggregate(array_sort(spans), named_struct('end', 0, 'n', 0L), (a, s) -> named_struct('end', greatest(a.end, s.end), 'n', a.n + greatest(0, s.end - greatest(a.end, s.start))), a -> a.n)")
-    per = (
-        hits(docs, items).groupBy("doc_id", "text_key")
-        .agg(F.flatten(F.collect_list(spans)).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-        .select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), covered.alias("n_hit"), "item_ids")
-    )
-    per = materialize(per, "hits")
+    found, held = hits(docs, items)
+    spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans")).select("doc_id", "text_key", covered.alias("n_hit"))
+    named = found.select("doc_id", "text_key", "window").distinct().join(held, "window").select("doc_id", "text_key", F.col("item_id").cast("string").alias("item"))
+    named = named.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).select(F.col("doc_id").alias("i_id"), F.col("text_key").alias("i_key"), "item_ids")
+    per = spans.join(named, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("text_key") == F.col("i_key")), "left").select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), "n_hit", "item_ids")
+    per = materialize(per, "hit-documents")
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(per, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")

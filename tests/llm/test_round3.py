@@ -1,5 +1,6 @@
 """The filter audit, whitening and language identification against plain versions."""
 
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrollmill.llm import audit, common, language, minhash, whitening
+from scrollmill.llm import audit, common, decontaminate, language, minhash, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -244,3 +245,31 @@ def test_stages_keep_values_of_any_columns(spark):
         got = {tuple(r) for r in stage(spark, df, SF).collect()}
         keep = {(r[0], "write to [EMAIL]" if name == "pii" and r[1] else r[1], r[2], r[3], *r[4:]) for r in rows}
         assert got == keep, name
+
+
+def _hit_by_hand(text, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    words, hit, ids = split(text), set(), set()
+    for item_id, other in items:
+        other = split(other)
+        n = min(13, len(other))
+        for at in range(len(other) - n + 1) if n else []:
+            for start in range(len(words) - n + 1):
+                if words[start : start + n] == other[at : at + n]:
+                    hit |= set(range(start, start + n))
+                    ids |= {item_id} - {None}
+    return len(words), len(hit), sorted(map(str, ids))
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_winnowing_of_passages_that_many_items_share(spark, monkeypatch, broadcast_rows):
+    opening = "read the passage below with care and answer each of the questions that follow it in order"
+    items = [(i, f"{opening} item {i} asks about w{i} x{i} y{i} z{i} and also about {' '.join(f'q{i}v{k}' for k in range(12))}") for i in range(40)]
+    items += [(900, "same same same same same same same same same same same same same same same"), (901, "only five words stand here"), (902, "only five words stand here"), (None, "an item without any id still marks the words that it shares with other texts"), (903, ""), (904, None)]
+    texts = [opening, f"so {opening} item 3", items[7][1] + " " + items[8][1], ("same " * 40).strip(), "Here ONLY five words stand here, only five words stand here", items[43][1], f"x {opening} y {opening} z", "nothing in common", "", None, "five words", " ".join(opening.split()[:12])]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, opening), (None, opening), (0, "another text of one id")]
+    whole = decontaminate.hits
+    monkeypatch.setattr(decontaminate, "hits", lambda d, i: whole(d, i, broadcast_rows))
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = [(i, *_hit_by_hand(t, items)) for i, t in docs]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got.collect()), key=str) == sorted(want, key=str)
