@@ -32,10 +32,6 @@ def _grams(size: int) -> str:
     return f"if(size(hashes) < {size}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {size}), i -> xxhash64({size}, {run})))"
 
 
-def _hashed(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
-
-
 def _kept() -> str:
     """SQL for what winnowing keeps: the smallest gram hash of each window, in order."""
     keep = WINDOW - GRAM + 1
@@ -43,15 +39,16 @@ def _kept() -> str:
     return f"if(size(grams) < {keep}, cast(array() as array<bigint>), transform(sequence(0, size(grams) - {keep}), i -> least({window})))"
 
 
-def _prints(hashes: str, length: int) -> str:
+def _prints(hashes: str, length: int, extra: str) -> str:
     """SQL for the fingerprints of the windows of ``length`` words: (key, length,
-    first, last). Neighbours of one hash are one fingerprint; ``first`` and
-    ``last`` are the starts, from 1, of the windows that kept it."""
+    first, last, and ``extra``, from ``first`` and ``last``). Neighbours of one hash
+    are one fingerprint; ``first`` and ``last`` are the starts, from 1, of the
+    windows that kept it."""
     heads = f"filter(sequence(1, size({hashes})), i -> i = 1 or {hashes}[i - 1] != {hashes}[i - 2])"
-    run = f"named_struct('key', {hashes}[at - 1], 'length', {length}, 'first', at, 'last', coalesce(get(heads, k + 1) - 1, size({hashes})))"
-    none = "cast(array() as array<struct<key: bigint, length: int, first: int, last: int>>)"
+    ends = f"transform(heads, (at, k) -> named_struct('first', at, 'last', coalesce(get(heads, k + 1) - 1, size({hashes}))))"
+    run = f"named_struct('key', {hashes}[r.first - 1], 'length', {length}, 'first', r.first, 'last', r.last, 'passage', {extra.format(length=length)})"
     # The array of heads is bound once: each run looks at the next one's start.
-    return f"if(size({hashes}) = 0, {none}, transform(array({heads}), heads -> transform(heads, (at, k) -> {run}))[0])"
+    return f"transform(if(size({hashes}) = 0, cast(array() as array<struct<first: int, last: int>>), transform(array({heads}), heads -> {ends})[0]), r -> {run})"
 
 
 def _windows(first: str, last: str, length: str) -> str:
@@ -78,25 +75,35 @@ def hits(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1_000_000) ->
     keys = keys.select(F.explode(F.expr(f"case {own_length} when length = {WINDOW} then {_grams(GRAM)} end")).alias("key")).distinct()
     keys = materialize(keys, "bench-keys")
 
+    small = keys.count() <= broadcast_rows
+    # With the keys in every task, a fingerprint carries its passage (the words of the
+    # windows that kept it) to the join and texts are read once; joined by a shuffle it
+    # would be too wide, and the documents that it leads to are read again.
+    passage = "array_join(slice(words, r.first, r.last - r.first + {length}), ' ')" if small else "cast(null as string)"
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    prints = named.select("doc_id", "text_key", _hashed(F.col("text")).alias("hashes")).withColumn("grams", F.expr(_grams(GRAM))).withColumn("kept", F.expr(_kept()))
+    prints = named.select("doc_id", "text_key", words(F.col("text")).alias("words")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    prints = prints.withColumn("grams", F.expr(_grams(GRAM))).withColumn("kept", F.expr(_kept()))
     for n in short:
         prints = prints.withColumn(f"of_{n}", F.expr(_grams(n)))
-    wanted = ", ".join([_prints("kept", WINDOW), *(_prints(f"of_{n}", n) for n in short)])
+    wanted = ", ".join([_prints("kept", WINDOW, passage), *(_prints(f"of_{n}", n, passage) for n in short)])
     # Outer, as the optimiser filters on what a plain explode is given: that filter
     # would work out the whole expression once more, with nothing of it bound.
     prints = prints.select("doc_id", "text_key", F.explode_outer(F.expr(f"flatten(array({wanted}))")).alias("p")).select("doc_id", "text_key", "p.*").where("key is not null")
-    side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys.hint("merge")
-    met = prints.join(side, "key", "left_semi").select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), F.struct("length", "first", "last").alias("run"))
-    met = materialize(met.groupBy("c_id", "c_key").agg(F.collect_set("run").alias("runs")), "candidates")
-
-    # A hit is extended to the windows that kept its hash, each looked up whole. Runs
-    # of a text don't overlap; repeats of a row have one result and are looked at once.
-    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))
-    whole = named.join(met, same).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
-    near = whole.select("doc_id", "text_key", words(F.col("text")).alias("words"), F.explode("runs").alias("run"))
-    near = near.select("doc_id", "text_key", "run", F.posexplode_outer(F.expr(_windows("run.first", "run.last", "run.length"))).alias("k", "window"))
-    near = near.select("doc_id", "text_key", (F.col("run.first") + F.col("k")).alias("start"), F.col("run.length").alias("length"), "window")
+
+    # A hit is extended to the windows that kept its hash, each looked up whole.
+    if small:
+        met = materialize(prints.join(F.broadcast(keys), "key", "left_semi"), "candidates")
+        near = met.select("doc_id", "text_key", "first", "length", F.split("passage", " ").alias("words"))
+        near = near.select("doc_id", "text_key", "first", "length", F.posexplode_outer(F.expr(_windows("1", "size(words) - length + 1", "length"))).alias("k", "window"))
+        near = near.select("doc_id", "text_key", (F.col("first") + F.col("k")).alias("start"), "length", "window")
+    else:
+        met = prints.join(keys.hint("merge"), "key", "left_semi").select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), F.struct("length", "first", "last").alias("run"))
+        met = materialize(met.groupBy("c_id", "c_key").agg(F.collect_set("run").alias("runs")), "candidates")
+        same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))
+        whole = named.join(met, same).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+        near = whole.select("doc_id", "text_key", words(F.col("text")).alias("words"), F.explode("runs").alias("run"))
+        near = near.select("doc_id", "text_key", "run", F.posexplode_outer(F.expr(_windows("run.first", "run.last", "run.length"))).alias("k", "window"))
+        near = near.select("doc_id", "text_key", (F.col("run.first") + F.col("k")).alias("start"), F.col("run.length").alias("length"), "window")
     found = materialize(near.join(windows, ["window", "length"], "left_semi"), "hits")
     return found, held.where("item_id is not null").select("window", "item_id").distinct()
 
@@ -116,7 +123,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     # Overlaps count once: walk the spans by start, adding what lies past the end so far.
     covered = F.expr("aggregate(array_sort(spans), named_struct('end', 0, 'n', 0L), (a, s) -> named_struct('end', greatest(a.end, s.end), 'n', a.n + greatest(0, s.end - greatest(a.end, s.start))), a -> a.n)")
     found, held = hits(docs, items)
-    spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans")).select("doc_id", "text_key", covered.alias("n_hit"))
+    spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("spans")).select("doc_id", "text_key", covered.alias("n_hit"))
     named = found.select("doc_id", "text_key", "window").distinct().join(held, "window").select("doc_id", "text_key", F.col("item_id").cast("string").alias("item"))
     named = named.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).select(F.col("doc_id").alias("i_id"), F.col("text_key").alias("i_key"), "item_ids")
     per = spans.join(named, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("text_key") == F.col("i_key")), "left").select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), "n_hit", "item_ids")
