@@ -1,17 +1,13 @@
 """Whether a failed shell call just found nothing.
 
-Quoting needs a tokeniser, so words come from one Arrow-batched function; what
-they mean is decided by built-in functions.
+A command's words are cut by patterns, and what they mean is decided on arrays
+of words: all of it stays in built-in functions.
 """
 
 from __future__ import annotations
 
-import shlex
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Commands whose exit code 1 says "none", "false" or "differs",
 # commands that only pass on what others found, and marks of a real failure.
@@ -21,23 +17,43 @@ HARD_ERROR = r"(?i)No such file or directory|Permission denied|command not found
 ENDS, PIPES, WRITES, OTHER_REDIRECTS = [";", "&", ";;"], ["|", "&&", "||", "|&"], [">", ">>", ">|", "&>"], [">&", "<"]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def shell_words(command: pd.Series) -> pd.Series:
-    """Words and operators of each command; null where quotes don't close."""
-
-    def one(text):
-        try:
-            return None if text is None else list(shlex.shlex(text.replace("\n", " ; "), posix=True, punctuation_chars=True))
-        except ValueError:
-            return None
-
-    return command.map(one)
+# Parts of the grammar of words. No part gives back what it took, so a quote that
+# does not close costs one pass and is left alone as a piece of one character.
+_LETTERS = r"[A-Za-z0-9_~./*?=\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF-]++"
+_ESCAPED = r"\\[\s\S]"
+_SINGLE = r"'[^']*+'"
+_DOUBLE = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+_PIECE = f"{_SINGLE}|{_DOUBLE}|{_ESCAPED}|{_LETTERS}"
+_RAW = f"(?:{_PIECE})++|[();<>|&]++|[^ \\t\\r\\n]"
+UNCLOSED, COMMENT = ["'", '"', "\\"], "#"
 
 
 def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _unquoted(raw: Column) -> Column:
+    """What a word says without its quotes and escapes."""
+    inner = lambda p: F.substr(p, F.lit(2), F.length(p) - 2)
+    piece = lambda p: (
+        F.when(p.startswith("'"), inner(p)).when(p.startswith('"'), F.regexp_replace(inner(p), r'\\(["\\])', "$1"))
+        .when(p.startswith("\\"), F.substr(p, F.lit(2))).otherwise(p)
+    )
+    return F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(f"({_PIECE})"), F.lit(1)), piece), "")
+
+
+def shell_words(command: Column) -> Column:
+    """array<string>: words and operators of a command, line ends as ``;``.
+
+    A character that is no letter, quote or operator is a word of its own; a ``#``
+    between words ends the command. Null where quotes don't close, and for null.
+    """
+    cut = F.regexp_extract_all(F.replace(command, F.lit("\n"), F.lit(" ; ")), F.lit(f"({_RAW})"), F.lit(1))
+    said = _bound(cut, lambda w: F.when(F.array_position(w, COMMENT) > 0, F.slice(w, F.lit(1), (F.array_position(w, COMMENT) - 1).cast("int"))).otherwise(w))
+    word = lambda w: F.when(w.rlike(r"^[();<>|&]"), w).when(w.rlike(f"^(?:{_PIECE})"), _unquoted(w)).otherwise(w)
+    return _bound(said, lambda ws: F.when(~F.exists(ws, lambda w: w.isin(UNCLOSED)), F.transform(ws, word)))
+
+
 def _last_statement(words: Column) -> Column:
     at = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     last = F.array_max(F.transform(F.filter(at, lambda x: ~x["w"].isin(ENDS)), lambda x: x["i"]))
@@ -70,5 +86,6 @@ def nothing_found(text: Column, command: Column) -> Column:
     said = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", "")
     quiet = said.rlike(r"^Exit code 1[^\S\n]*(?:\n|$)") & ~said.rlike(HARD_ERROR)
     simple = (F.length(command) > 0) & (F.length(command) < 2000) & ~command.contains("<<") & ~command.rlike(r"\bset\s+-[a-z]*e")
-    sought = _bound(shell_words(command), lambda w: _bound(_last_statement(w), _only_sought))
+    # Only commands whose output says that nothing was found are cut into words.
+    sought = _bound(shell_words(F.when(quiet & simple, command)), lambda w: _bound(_last_statement(w), _only_sought))
     return F.coalesce(quiet & simple & sought, F.lit(False))

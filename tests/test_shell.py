@@ -16,3 +16,27 @@ def test_nothing_found(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, t string, c string, want boolean")
     got = df.withColumn("got", shell.nothing_found(F.col("t"), F.col("c"))).collect()
     assert [tuple(r) for r in got if r.got != r.want] == []
+
+
+ODD = [
+    "a 'b c' d", 'x "q\\"r\\\\s\\t" y', "it\\'s", "a'b'\"c\"d", "''", "a '' b", "2>&1|tee f;;x", "a&&b||c|&d", "né × 한 $x {y}", "a # b 'c", "a#b c", "'#' x", "\\# y", "a\nb\n\nc", "", "  ", "'open", 'a "open', "end\\",
+    '"a\nb"', "x=1:2 y", "a\x0bb", "(a;b)", "a\\ b", '"\\', "a 'b\\' c", "# all", "a ;# 'b", "\U0001f600 x\U0001f600",
+]
+
+
+def test_words_are_those_of_the_standard_lexer(spark):
+    """The standard library's lexer, on odd commands and on all short ones of a small alphabet."""
+    import itertools
+    import shlex
+
+    def lexed(text):
+        try:
+            return list(shlex.shlex(text.replace("\n", " ; "), posix=True, punctuation_chars=True))
+        except ValueError:
+            return None
+
+    every = ODD + ["".join(p) for n in range(1, 6) for p in itertools.product("a'\"\\ #|", repeat=n)]
+    long = ["a" * 1999, "'" + "x" * 1990, '"' + "\\x" * 900 + '"', "a'b'" * 400]
+    texts = every + long
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, c string").select("i", shell.shell_words(F.col("c")).alias("w")).collect()
+    assert [(texts[r.i], r.w, lexed(texts[r.i])) for r in got if r.w != lexed(texts[r.i])][:5] == []
