@@ -42,7 +42,7 @@ def crosscheck(history: DataFrame, inputs: DataFrame, lines: DataFrame) -> DataF
 
     def marked(rows: DataFrame, df: DataFrame, probe: str, name: str) -> DataFrame:
         texts = df.select(F.col("sid").alias("__sid"), input_text(F.col("text")).alias("__t")).where("__t <> ''").distinct()
-        hit = rows.join(texts, (F.col("sid") == F.col("__sid")) & F.col("__t").contains(F.col(probe)), "left_semi").select("id", "sid").distinct().withColumn(name, F.lit(True))
+        hit = rows.where(~short).join(texts, (F.col("sid") == F.col("__sid")) & F.col("__t").contains(F.col(probe)), "left_semi").select("id", "sid").distinct().withColumn(name, F.lit(True))
         return rows.join(hit, ["id", "sid"], "left")
 
     rows = marked(marked(asked, inputs, "probe", "hit"), lines, "probe", "traced")

@@ -86,10 +86,10 @@ def show_card_text(t) -> DataFrame:
     return t("conversations").select("conv_id", "turn", F.sha1(display.card_text(human).cast("binary")).alias("text_sha"), display.is_short_input(human).alias("short"))
 
 
-@query("select doc_id, '---' || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: \"' || lang || '\"' || chr(10) || 'gone: null' || chr(10) || 'tags: [\"' || source || '\",\"b\"]' || chr(10) || '---' as head from documents where lang is not null and source is not null")
+@query("select doc_id, '---' || chr(10) || 'id: ' || doc_id || chr(10) || 'lang: ' || coalesce('\"' || lang || '\"', 'null') || chr(10) || 'gone: null' || chr(10) || 'tags: [' || coalesce('\"' || source || '\",', '') || '\"b\"]' || chr(10) || '---' as head from documents")
 def export_front_matter(t) -> DataFrame:
-    d = t("documents").where("lang is not null and source is not null")
-    return d.select("doc_id", display.front_matter(id=F.col("doc_id"), lang=F.col("lang"), gone=F.lit(None).cast("string"), tags=F.array("source", F.lit("b"))).alias("head"))
+    fields = {"id": F.col("doc_id"), "lang": F.col("lang"), "gone": F.lit(None).cast("string"), "tags": F.array_compact(F.array("source", F.lit("b")))}
+    return t("documents").select("doc_id", display.front_matter(**fields).alias("head"))
 
 
 @query("select doc_id, sha1(concat_ws(chr(10), nullif(substr(text, 1, 2000), ''), nullif(substr(text, 1, 800), ''), source, lang)) as body_sha from documents")

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import extraction, lines, policy, redaction, rollout, shell, text
-from ..operators import known, ordered, search
+from ..functions import display, extraction, lines, policy, redaction, rollout, shell, text
+from ..operators import known, ordered, quantiles, search
 
 QUERIES, SQL = {}, {}
 
@@ -189,28 +189,34 @@ def queue_key(t) -> DataFrame:
     return t("documents").select("doc_id", extraction.queue_key(kind, said).alias("key"))
 
 
-@query(rf"select doc_id, n, title, sha1({_STRIPPED.format('body')}) as body_sha from (select doc_id, 1 as n, source as title, text as body from documents union all select doc_id, 2, 'End', lang from documents) where title is not null and body is not null")
+@query(rf"select doc_id, n, title, sha1({_STRIPPED.format('body')}) as body_sha from (select doc_id, 1 as n, coalesce(source, 'none') as title, coalesce(text, '') as body from documents union all select doc_id, 2, 'End', coalesce(lang, '') from documents)")
 def cls_summary_sections(t) -> DataFrame:
-    d = t("documents").where("source is not null and text is not null and lang is not null")
-    whole = F.concat(F.lit("## 1. "), "source", F.lit(":\n"), "text", F.lit("\n7. a list\n## 2. End\n"), "lang")
+    d, said = t("documents"), lambda c: F.coalesce(c, F.lit(""))
+    whole = F.concat(F.lit("## 1. "), F.coalesce("source", F.lit("none")), F.lit(":\n"), said("text"), F.lit("\n7. a list\n## 2. End\n"), said("lang"))
     s = d.select("doc_id", F.inline(extraction.summary_sections(whole)))
     return s.select("doc_id", "n", "title", F.sha1(F.regexp_replace("body", r"\s*7\. a list$", "").cast("binary")).alias("body_sha"))
 
 
-@query("select doc_id, sha1(concat_ws(chr(10), '[Bash]', nullif(source, ''), nullif(substr(text, 1, 2000), ''))) as shown_sha from documents where text is not null and source is not null")
+@query("select doc_id, sha1(concat_ws(chr(10), '[Bash]', nullif(source, ''), nullif(substr(text, 1, 2000), ''))) as shown_sha from documents")
 def cls_tool_text(t) -> DataFrame:
-    d = t("documents").where("text is not null and source is not null")
+    d = t("documents")
     given = F.to_json(F.struct(F.col("text").alias("command"), F.col("source").alias("description"), F.lit(1).alias("other")))
     s = d.select("doc_id", extraction.tool_summary(F.lit("Bash"), given).alias("s"))
     return s.select("doc_id", F.sha1(extraction.tool_text(F.lit("Bash"), F.col("s")).cast("binary")).alias("shown_sha"))
 
 
-@query("select doc_id, doc_id % 4 < 2 as nothing_found from documents")
+_TYPED = "replace(coalesce(text, ''), chr(39), '')"
+
+
+@query(rf"""with d as (select doc_id, 'grep -c ' || chr(39) || {_TYPED} || chr(39) || ' ' as cmd, 'Exit code 1' || chr(10) || coalesce(text, '') as said from documents)
+    select doc_id, doc_id % 4 < 2 and length(cmd) + case doc_id % 4 when 0 then 15 else 24 end < 2000 and not contains(cmd, '<<') and not regexp_matches(cmd, '\bset\s+-[a-z]*e') and not regexp_matches(said, '{shell.HARD_ERROR}') as nothing_found from d""")
 def cls_nothing_found(t) -> DataFrame:
-    """Two commands that only seek, one that writes, one that builds first."""
-    commands = F.array(*map(F.lit, ["grep -r 'a b' src | head -3", "make; git diff --quiet", "grep x y > out.txt", "make && grep x y"]))
-    command = F.element_at(commands, (F.col("doc_id") % 4 + 1).cast("int"))
-    return t("documents").select("doc_id", shell.nothing_found(F.lit("Exit code 1\n"), command).alias("nothing_found"))
+    """The whole text as the pattern of a search and as its output: a search alone,
+    one behind another command, one that writes, one that is built first."""
+    seek = F.concat(F.lit("grep -c '"), F.expr(_TYPED), F.lit("' "))
+    whole = F.array(F.concat(seek, F.lit("src | head -n 3")), F.concat(F.lit("make -k; "), seek, F.lit("lib/src | wc -l")), F.concat(seek, F.lit("src > out.txt")), F.concat(F.lit("make && "), seek, F.lit("src")))
+    command = F.element_at(whole, (F.col("doc_id") % 4 + 1).cast("int"))
+    return t("documents").select("doc_id", shell.nothing_found(F.concat(F.lit("Exit code 1\n"), F.coalesce("text", F.lit(""))), command).alias("nothing_found"))
 
 
 # Lines of both dialects -----------------------------------------------------
@@ -256,8 +262,8 @@ def cls_line_kinds(t) -> DataFrame:
 # Redaction ---------------------------------------------------------------
 
 
-#: The whole text behind a planted secret, without what could be part of another.
-_REST = "translate(coalesce(text, ''), '=:%&-_@+0A', '')"
+#: The whole text, unaltered, behind a planted secret.
+_REST = "coalesce(text, '')"
 
 
 def _redacted(name: str, planted: str, expected: str, kinds: list[str]):
@@ -489,9 +495,12 @@ def view_day_cards(t) -> DataFrame:
     return t("events").groupBy(F.to_date(text.display_time(F.col("ts"))).cast("string").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("n_err"))
 
 
-@query("with s as (select *, length(text) <= 200 as inside from conversations), c as (select *, case when inside = lag(inside) over (partition by conv_id order by turn) then 0 else 1 end as ch from s), i as (select *, cast(sum(ch) over (partition by conv_id order by turn rows unbounded preceding) as bigint) as island from c) select conv_id, island, count(*) as n from i where inside group by all having count(*) >= 2")
+@query(r"with s as (select *, turn % 4 < 2 or length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) <= 4 as inside from conversations), c as (select *, case when inside = lag(inside) over (partition by conv_id order by turn) then 0 else 1 end as ch from s), i as (select *, cast(sum(ch) over (partition by conv_id order by turn rows unbounded preceding) as bigint) as island from c) select conv_id, island, count(*) as n from i where inside group by all having count(*) >= 2")
 def view_day_fold(t) -> DataFrame:
-    runs = ordered.islands(t("conversations"), "conv_id", ["turn"], F.length("text") <= 200)
+    """Runs of short inputs; of four turns two are typed as a shell line of one character."""
+    said = F.coalesce("text", F.lit(""))
+    human = F.when(F.col("turn") % 4 < 2, F.concat(F.lit("<bash-input>"), F.substring(said, 1, 1), F.lit("</bash-input>"))).otherwise(said)
+    runs = ordered.islands(t("conversations"), "conv_id", ["turn"], display.is_short_input(human))
     return runs.where("inside").groupBy("conv_id", "island").agg(F.count("*").alias("n")).where("n >= 2")
 
 
@@ -509,7 +518,9 @@ def view_eff_metrics(t) -> DataFrame:
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("n"), F.sum("l_quantity").alias("q"))
     cards = t("orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey")
     long = cards.select(F.expr("stack(3, 'price', o_totalprice, 'lines', n, 'quantity', q) as (metric, v)"))
-    return long.groupBy("metric").agg(F.round(F.percentile("v", 0.5), 4).alias("median"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", 0.9), 4).alias("p90"), F.round(F.sum("v"), 2).alias("total"))
+    sums = long.groupBy("metric").agg(F.round(F.avg("v"), 4).alias("mean"), F.round(F.sum("v"), 2).alias("total"))
+    at = quantiles.quantiles(long, ["metric"], "v", {"median": 0.5, "p90": 0.9})
+    return sums.join(at, "metric").select("metric", F.round("median", 4).alias("median"), "mean", F.round("p90", 4).alias("p90"), "total")
 
 
 @query("select coalesce(o_orderpriority, 'total') as bundle, count(*) as n, round(avg(o_totalprice), 4) as mean from orders group by rollup(o_orderpriority)")
@@ -521,7 +532,9 @@ def view_eff_bundles(t) -> DataFrame:
 def view_eff_features(t) -> DataFrame:
     has = lambda k: F.max(F.when(F.col("event_type") == k, 1).otherwise(0))
     per = t("events").groupBy("user_id").agg(has("error").alias("err"), has("signup").alias("sign"), F.count("*").alias("n"))
-    return per.select(F.expr("stack(2, 'error', err, 'signup', sign) as (feature, flag)"), "n").groupBy("feature", "flag").agg(F.count("*").alias("users"), F.round(F.percentile("n", 0.5), 4).alias("median"))
+    long = per.select(F.expr("stack(2, 'error', err, 'signup', sign) as (feature, flag)"), F.col("n").cast("double").alias("n"))
+    at = quantiles.quantiles(long, ["feature", "flag"], "n", {"median": 0.5})
+    return long.groupBy("feature", "flag").agg(F.count("*").alias("users")).join(at, ["feature", "flag"]).select("feature", "flag", "users", F.round("median", 4).alias("median"))
 
 
 @query("select p_brand, count(*) as n, sum(l_quantity) as tokens from lineitem join part on l_partkey = p_partkey group by 1")
