@@ -4,6 +4,7 @@
 newline-terminated line with its byte offset; an unfinished last line waits. The
 stream's offset holds, for each file, the bytes read, its inode and a digest of
 its head, so an appended file resumes and a replaced or shrunk one starts anew.
+A large file is read by several tasks, ``spanBytes`` (128 MB unless given) each.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import os
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, off long, raw string"
-HEAD_BYTES, READ_BYTES = 1 << 16, 1 << 24
+HEAD_BYTES, READ_BYTES, SPAN_BYTES = 1 << 16, 1 << 24, 1 << 27
 
 
 def listing(folder: str) -> dict[str, dict]:
@@ -51,14 +52,26 @@ def complete_end(path: str, start: int, size: int) -> int:
 
 
 class Span(InputPartition):
-    def __init__(self, folder: str, path: str, start: int, end: int):
-        self.folder, self.path, self.start, self.end = folder, path, start, end
+    """The lines of a file that begin in [start, end); ``base`` begins one."""
+
+    def __init__(self, folder: str, path: str, base: int, start: int, end: int):
+        self.folder, self.path, self.base, self.start, self.end = folder, path, base, start, end
+
+
+def spans(folder: str, path: str, start: int, end: int, size: int) -> list[Span]:
+    """Whole lines of [start, end) in tasks of about ``size`` bytes each."""
+    return [Span(folder, path, start, at, min(at + size, end)) for at in range(start, end, size)]
 
 
 def lines(span: Span):
     with open(os.path.join(span.folder, span.path), "rb") as f:
-        f.seek(span.start)
         off = span.start
+        if off > span.base:
+            # The line that holds the byte before belongs to the span before.
+            f.seek(off - 1)
+            off += len(f.readline()) - 1
+        else:
+            f.seek(off)
         while off < span.end:
             raw = f.readline()
             if not raw.endswith(b"\n"):
@@ -68,19 +81,20 @@ def lines(span: Span):
 
 
 class BatchReader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, size: int):
+        self.folder, self.size = folder, size
 
     def partitions(self):
-        return [Span(self.folder, p, 0, complete_end(os.path.join(self.folder, p), 0, x["size"])) for p, x in sorted(listing(self.folder).items())] or [Span(self.folder, "", 0, 0)]
+        ends = {p: complete_end(os.path.join(self.folder, p), 0, x["size"]) for p, x in sorted(listing(self.folder).items())}
+        return [s for p, end in ends.items() for s in spans(self.folder, p, 0, end, self.size)] or [Span(self.folder, "", 0, 0, 0)]
 
     def read(self, partition):
         return lines(partition) if partition.path else iter(())
 
 
 class StreamReader(DataSourceStreamReader):
-    def __init__(self, folder: str):
-        self.folder, self.last = folder, {}
+    def __init__(self, folder: str, size: int):
+        self.folder, self.size, self.last = folder, size, {}
 
     def initialOffset(self):
         return {"files": "{}"}
@@ -102,8 +116,7 @@ class StreamReader(DataSourceStreamReader):
             old = before.get(p)
             same = old and old["inode"] == x["inode"] and x["off"] >= old["off"] and head_digest(os.path.join(self.folder, p), old["head"]) == old["sha1"]
             begin = old["off"] if same else 0
-            if x["off"] > begin:
-                out.append(Span(self.folder, p, begin, x["off"]))
+            out += spans(self.folder, p, begin, x["off"], self.size)
         return out
 
     def read(self, partition):
@@ -121,11 +134,14 @@ class TranscriptSource(DataSource):
     def schema(self):
         return SCHEMA
 
+    def _size(self) -> int:
+        return max(1, int(self.options.get("spanBytes", SPAN_BYTES)))
+
     def reader(self, schema):
-        return BatchReader(self.options["path"])
+        return BatchReader(self.options["path"], self._size())
 
     def streamReader(self, schema):
-        return StreamReader(self.options["path"])
+        return StreamReader(self.options["path"], self._size())
 
 
 def register(spark) -> None:

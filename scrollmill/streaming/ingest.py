@@ -20,7 +20,7 @@ from ..functions.redaction import redact_json
 from ..functions.reduction import reduce_line
 from ..functions.text import file_id, source_of
 from ..operators.ordered import first_by, multiset_new
-from ..sources.transcripts import register
+from ..sources.transcripts import SPAN_BYTES, register
 from .store import Store
 
 #: Usage counters of an assistant message.
@@ -159,10 +159,11 @@ def ingest_batch(lines: DataFrame, tables: Tables, stream: str, batch: int) -> N
     ), stream, batch)
 
 
-def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str) -> None:
+def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, span_bytes: int = SPAN_BYTES) -> None:
     """Read what is new in ``folder`` into the tables at ``store``.
 
-    Run it again after a crash and nothing is lost or doubled.
+    Run it again after a crash and nothing is lost or doubled. A file is read in
+    tasks of ``span_bytes`` each.
     """
     register(spark)
     tables = Tables(spark, store)
@@ -171,4 +172,4 @@ def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str) -> Non
         ingest_batch(df, tables, checkpoint, number)
         tables.events.compact()
 
-    spark.readStream.format("transcripts").load(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark.readStream.format("transcripts").option("spanBytes", span_bytes).load(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
