@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrollmill.llm import decontaminate, mixing, pii, simhash, toxicity
-from scrollmill.llm.common import materialize, table
+from scrollmill.llm.common import materialize, release, table, written
 
 
 def _apart(docs: DataFrame, name: str) -> tuple[DataFrame, list[Column]]:
@@ -92,7 +92,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, start)  # what led to the stage's table; the table stays
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,20 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Folders written by this process and not yet released, in order.
-_written: list[str] = []
+class _Written(threading.local):
+    """Folders written by this thread and not yet released, in order: a query that
+    runs beside it in another thread keeps its own."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.paths.append(path)
     return path
 
 
 def written() -> int:
     """How many folders are in use; ``release`` takes it as its start."""
-    return len(_written)
+    return len(_written.paths)
 
 
 def release(spark: SparkSession, start: int, keep: int = 1) -> None:
@@ -52,10 +60,11 @@ def release(spark: SparkSession, start: int, keep: int = 1) -> None:
     For a caller that has stored a result and needs nothing that led to it.
     """
     jvm = spark.sparkContext._jvm
-    for path in _written[start : len(_written) - keep]:
+    stop = len(_written.paths) - keep
+    for path in _written.paths[start:stop]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-    _written[start : len(_written) - keep] = []
+    _written.paths[start:stop] = []
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
