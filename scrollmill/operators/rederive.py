@@ -51,16 +51,18 @@ def changed_rows(rows: DataFrame, key: str, columns: list[str], learned: DataFra
     """
     strong = learned.where("strength = 'strong'").select("value")
     own = [r.value for r in strong.limit(block + 1).collect()]
-    near = rows.where(may_hold(own, columns)) if len(own) <= block else rows
-    masked = mask_known(near, columns, strong, block)
-    weak = learned.where("strength = 'weak'").select(F.explode(digests(F.col("value"))).alias("digest"))
     before = {c: f"old_{i}" for i, c in enumerate(columns)}
-    rest = rows.select(F.col(key), *(F.col(c).alias(o) for c, o in before.items()))
-    both = masked.unionByName(rows.join(masked.select(key), key, "left_anti"))
+    kept = rows.select("*", *(F.col(c).alias(o) for c, o in before.items()))
+    if len(own) <= block:
+        near = may_hold(own, columns)
+        masked = mask_known(kept.where(near), columns, strong, block).unionByName(kept.where(~near))
+    else:
+        masked = mask_known(kept, columns, strong, block)
+    weak = learned.where("strength = 'weak'").select(F.explode(digests(F.col("value"))).alias("digest"))
     for c in columns:
-        both = mask_digests(both, key, c, strong, weak)
+        masked = mask_digests(masked, key, c, strong, weak)
     differs = F.greatest(*(~F.col(c).eqNullSafe(F.col(o)) for c, o in before.items()), F.lit(False))
-    return both.join(rest, key).where(differs).drop(*before.values())
+    return masked.where(differs).drop(*before.values())
 
 
 def retro(store: Store, columns: list[str], learned: DataFrame, stream: str, batch: int, dry_run: bool = False) -> DataFrame:
