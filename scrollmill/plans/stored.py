@@ -29,7 +29,8 @@ def doc_upsert_two_runs(t) -> DataFrame:
         documents.load_documents(files, shelf, "runs", run, F.timestamp_seconds(F.lit(run + 1)))
     found = shelf.search.read().select(F.expr("substring(key, 3)").alias("path"), F.sha1(F.col("body").cast("binary")).alias("searched_sha"))
     ident = F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("long")
-    return shelf.docs.read().join(found, "path").select(ident.alias("doc_id"), F.sha1(F.col("text").cast("binary")).alias("text_sha"), "missing", F.unix_seconds("updated").cast("int").alias("loaded_in_run"), "searched_sha")
+    kept = shelf.docs.read().select("path", F.sha1(F.col("text").cast("binary")).alias("text_sha"), "missing", F.unix_seconds("updated").cast("int").alias("loaded_in_run"))
+    return kept.join(found, "path").select(ident.alias("doc_id"), "text_sha", "missing", "loaded_in_run", "searched_sha")
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import document_body
 from ..functions.redaction import redact, redact_json
-from .store import Store
+from .store import BUCKET, Store
 
 DOCUMENTS = "path string, kind string, project string, sid string, sha1 string, size long, mtime timestamp, text string, meta string, missing int, first_seen timestamp, updated timestamp"
 SEARCH = "key string, body string, kind string, project string, ts timestamp, sid string"
@@ -42,15 +42,16 @@ def _meta(kind: Column, v: Column, path: Column) -> Column:
     return F.concat(F.lit("{"), F.coalesce(made.when(kind == "wf_run", listed(RECORD_FIELDS["wf_run"])), F.lit("")), F.lit("}"))
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """(path, kind, project, sid, content, mtime) to rows of the table, redacted.
+def read_documents(files: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(path, kind, project, sid, content, mtime) to rows of the table, redacted;
+    columns ``also`` go along.
 
     Records are redacted string by string before anything is taken from them, and
     the text that comes out is redacted once more. Bytes that are not UTF-8 become
     replacement marks; a record that is no JSON object is an ordinary text.
     """
     text = F.decode("content", "utf-8") if files.schema["content"].dataType.simpleString() == "binary" else F.col("content")
-    own = files.select("path", "kind", "project", "sid", "mtime", F.sha1(F.col("content").cast("binary")).alias("sha1"), F.octet_length("content").cast("long").alias("size"), text.alias("raw"))
+    own = files.select(*also, "path", "kind", "project", "sid", "mtime", F.sha1(F.col("content").cast("binary")).alias("sha1"), F.octet_length("content").cast("long").alias("size"), text.alias("raw"))
     record = F.col("kind").isin(*RECORD_FIELDS)
     own = own.withColumn("clean", F.when(record, F.coalesce(redact_json(F.col("raw")), F.col("raw"))).otherwise(F.col("raw")))
     own = own.withColumn("v", F.when(record, F.try_parse_json("clean"))).withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
@@ -58,7 +59,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     said = lambda f: F.nullif(F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit("")), F.lit(""))
     run = F.concat_ws("\n", said("workflowName"), said("summary"), _json(v, "$.result"), F.nullif(F.nullif(_json(v, "$.phases"), F.lit("[]")), F.lit("{}")))
     shown = F.when(v.isNotNull() & (F.col("kind") == "wf_run"), run).otherwise(F.col("clean"))
-    return own.select("path", "kind", "project", "sid", "mtime", "sha1", "size", redact(shown).alias("text"), F.when(v.isNotNull(), _meta(F.col("kind"), v, F.col("path"))).otherwise("{}").alias("meta"))
+    return own.select(*also, "path", "kind", "project", "sid", "mtime", "sha1", "size", redact(shown).alias("text"), F.when(v.isNotNull(), _meta(F.col("kind"), v, F.col("path"))).otherwise("{}").alias("meta"))
 
 
 def load_documents(files: DataFrame, shelf: Shelf, stream: str, batch: int, at: Column) -> None:
@@ -72,13 +73,14 @@ def load_documents(files: DataFrame, shelf: Shelf, stream: str, batch: int, at:
     """
     stored = shelf.docs.read().select("path", F.col("sha1").alias("old_sha"), F.col("missing").alias("was_missing"), F.col("first_seen").alias("seen"))
     if not shelf.docs.done(stream, batch):
-        digests = files.select("path", F.sha1(F.col("content").cast("binary")).alias("now_sha"))
-        change = digests.join(stored, "path", "full_outer").select("path", "seen", F.when(F.col("now_sha").isNull(), F.when(F.col("was_missing") == 0, "gone")).when(F.col("now_sha").eqNullSafe(F.col("old_sha")), F.when(F.col("was_missing") == 1, "back")).otherwise("new").alias("change"))
-        change = change.where("change is not null")
-        fresh = read_documents(files.join(change.where("change = 'new'").select("path"), "path", "left_semi"))
-        fresh = fresh.join(change.select("path", "seen"), "path").select("*", F.lit(0).alias("missing"), F.coalesce("seen", at).alias("first_seen"), at.alias("updated")).drop("seen")
-        marked = shelf.docs.read().drop("missing").join(change.where("change <> 'new'").select("path", (F.col("change") == "gone").cast("int").alias("missing")), "path")
-        shelf.docs.merge(fresh.unionByName(marked), stream, batch)
+        # Contents are shuffled once, to the bucket in which they are written; digests alone tell what vanished or came back.
+        sha = F.sha1(F.col("content").cast("binary"))
+        beside = shelf.docs.placed(stored.select("path", "old_sha", "seen")).hint("shuffle_hash")
+        new = shelf.docs.placed(files.where(F.col("content").isNotNull())).join(beside, [BUCKET, "path"], "left").where(~sha.eqNullSafe(F.col("old_sha")))
+        fresh = read_documents(new, (BUCKET, "seen")).select("*", F.lit(0).alias("missing"), F.coalesce("seen", at).alias("first_seen"), at.alias("updated")).drop("seen")
+        there = stored.join(files.select("path", sha.alias("now_sha")).where("now_sha is not null"), "path", "left")
+        missing = F.when(F.col("now_sha").isNull() & (F.col("was_missing") == 0), 1).when((F.col("now_sha") == F.col("old_sha")) & (F.col("was_missing") == 1), 0)
+        shelf.docs.merge(fresh, stream, batch, marks=there.select("path", missing.alias("missing")).where("missing is not null"))
     if not shelf.search.done(stream, batch):
         # What this batch loaded: the rows that carry its time.
         loaded = shelf.docs.read().where((F.col("updated") == at) & (F.col("missing") == 0))
