@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redaction import digests, harvested, value_strength
 from ..streaming.store import Store
-from .secrets import mask_digests, mask_known
+from .secrets import mask_digests, mask_known, stored
 
 
 def harvest_stored(rows: DataFrame, columns: list[str], known: DataFrame | None = None) -> DataFrame:
@@ -70,12 +70,13 @@ def retro(store: Store, columns: list[str], learned: DataFrame, stream: str, bat
 
     Only buckets with a changed row are written again. A dry run writes nothing.
     The keys tell the caller what to derive anew: the cards and search rows of
-    these rows, and no others.
+    these rows, and no others. The changed rows are worked out once, and neither
+    they nor their keys pass through the driver; no keys if the batch was done before.
     """
+    if not dry_run and store.done(stream, batch):
+        return store.spark.createDataFrame([], store.schema).select(*store.keys)
     change = changed_rows(store.read(), store.keys[0], columns, learned)
-    keys = change.select(*store.keys)
-    if dry_run:
-        return keys
-    found = [tuple(r) for r in keys.collect()] if not store.done(stream, batch) else []
-    store.merge(change, stream, batch)
-    return store.spark.createDataFrame(found, keys.schema)
+    if not dry_run:
+        change = stored(change, "changed")
+        store.merge(change, stream, batch)
+    return change.select(*store.keys)
