@@ -30,7 +30,9 @@ def doc_upsert_two_runs(t) -> DataFrame:
     found = shelf.search.read().select(F.expr("substring(key, 3)").alias("path"), F.sha1(F.col("body").cast("binary")).alias("searched_sha"))
     ident = F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("long")
     kept = shelf.docs.read().select("path", F.sha1(F.col("text").cast("binary")).alias("text_sha"), "missing", F.unix_seconds("updated").cast("int").alias("loaded_in_run"))
-    return kept.join(found, "path").select(ident.alias("doc_id"), "text_sha", "missing", "loaded_in_run", "searched_sha")
+    # A document without text has no search row: nothing of it is searched.
+    searched = F.coalesce("searched_sha", F.sha1(F.lit("").cast("binary")))
+    return kept.join(found, "path", "left").select(ident.alias("doc_id"), "text_sha", "missing", "loaded_in_run", searched.alias("searched_sha"))
 
 
 @query("""
